@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from grainsift.llm import exact_dedup, url_filter
+from grainsift.llm import exact_dedup, token_counts, token_shards, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_token_shards": token_shards.op3_token_shards,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
