@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from grainsift.llm import exact_dedup, token_counts, token_shards, url_filter
+from grainsift.llm import decontaminate, exact_dedup, mixing, token_counts, token_shards, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_mix_sources": mixing.op2_mix_sources,
         "op3_token_shards": token_shards.op3_token_shards,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
