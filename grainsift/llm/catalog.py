@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainsift.llm import decontaminate, exact_dedup, mixing, token_counts, token_shards, url_filter
+from grainsift.llm import decontaminate, exact_dedup, language_id, mixing, quality, token_counts, token_shards, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_token_shards": token_shards.op3_token_shards,
+        "op4_language_id": language_id.op4_language_id,
+        "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_url_filter": url_filter.op10_url_filter,
