@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainsift.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts, token_shards, url_filter
+from grainsift.llm import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_counts, token_shards, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_token_shards": token_shards.op3_token_shards,
         "op4_language_id": language_id.op4_language_id,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_quality": quality.op7_quality,
         "op8_token_counts": token_counts.op8_token_counts,
