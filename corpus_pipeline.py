@@ -1,8 +1,82 @@
-"""The corpus pipeline (filled in below)."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixture, token shards.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over what the stage before it kept. run() writes
+every stage's result as Parquet into the shared folder and hands the reread table on.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from grainsift.llm import decontaminate, mixing, near_dedup, quality, token_shards
+from grainsift.llm.common import shuffle_partitions, work_path
+from grainsift.llm.features import held_out
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels of rows that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit_quality_model(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = quality.quality_scores(docs, model, keep_columns=True)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every near-duplicate group; of rows that repeat its id, one."""
+    kept = near_dedup.near_groups(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    held = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", once).where("_nth = 1")
+    return held.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, laid out in the order of the mixture: file after file, row after row."""
+    totals = mixing.source_totals(docs)
+    placed = mixing.mix_order(docs, mixing.temperature_weights(totals, mixing.ALPHA) or {mixing.NULL_SOURCE: 1.0}, totals=totals)
+    order = "mix_slot", "mix_offset", "doc_id"
+    return placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in the order in which the mixture lies in its files; one row per document, read back from them.
+
+    The key of a document in the shards is its place: number of its part file, row in the file. Where docs
+    doesn't come from files, places are document ids.
+    """
+    try:
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+        placed = docs.withColumn("place", F.coalesce(F.shiftleft(part, 40) + F.col("_metadata.row_index"), F.col("doc_id")))
+    except AnalysisException:
+        placed = docs.withColumn("place", F.col("doc_id"))
+    manifest = token_shards.write_shards(placed, work_path(spark, "mixture-shards"), "byte_bpe_50k.json", end_id=0, order_col="place")
+    stored = token_shards.read_shards(manifest).select(F.col("doc_id").alias("place"), "start", "n_tokens", "ids_crc32")
+    return placed.select("place", "doc_id").join(stored, "place").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixture", mix),
+    ("token_shards", write_tokens),
+]
+
+ORACLE_SQL = None  # classifiers, tokenizers and edit distance are beyond SQL; tests compare with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = work_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

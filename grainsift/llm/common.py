@@ -56,3 +56,23 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 16) ->
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Memo(dict):
+    """A bounded memo of make(key): when full, it becomes the old generation, from which keys in use come back."""
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit // 2, longest, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.longest:
+                return found
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found

@@ -23,11 +23,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import bounded_batches
+from grainsift.llm.common import Memo, bounded_batches
 
 CHUNK = 1 << 16  # characters
 MAX_STATES = 100_000  # machine states kept; beyond, it is built anew
-MAX_WORDS = 300_000  # fragments, and pre-tokens, whose count is remembered
+MAX_WORDS = 600_000  # fragments, and pre-tokens, whose count is remembered
 LIMIT = 2048
 #: Fixed: the pre-token pattern of the vocabulary file that the short way for plain texts covers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -140,22 +140,6 @@ class BpeTransducer:
         return total + delta
 
 
-class _Counted(dict):
-    """Counts of blank-free fragments, filled in through the machine."""
-
-    def __init__(self, counter: TokenCounter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, fragment: str) -> int:
-        n = self.counter.fragment(fragment)
-        if len(fragment) <= 64:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[fragment] = n
-        return n
-
-
 class TokenCounter:
     """Counts tokens as a tokenizers file defines them: special strings, normaliser, pre-tokens, BPE."""
 
@@ -167,9 +151,8 @@ class TokenCounter:
         self.library = Tokenizer.from_file(file)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.machine = BpeTransducer(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"] or "")
-        self.known = _Counted(self)
-        self.known[""] = 0
-        self.words: dict[str, int] = {}
+        self.known = Memo(self.fragment, MAX_WORDS)
+        self.words = Memo(self.machine.count, MAX_WORDS)
         self.plain = self._plain_spec() == {k: spec[k] for k in ("normalizer", "pre_tokenizer")}
 
     @staticmethod
@@ -181,16 +164,6 @@ class TokenCounter:
             "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": k} | v for k, v in parts.items()]},
         }
 
-    def word(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            n = self.machine.count(word)
-            if len(word) <= 64:
-                self.words[word] = n
-        return n
-
     def fragment(self, text: str) -> int:
         """Tokens of a text without blanks."""
         for s in self.special:
@@ -200,9 +173,9 @@ class TokenCounter:
         if not text:
             return 0
         if self.plain and max(text) < "\u0180" and "\u0130" not in text:  # NFC leaves these alone, and lower() is the library's
-            return sum([self.word(w.translate(BYTE_NAMES)) for w in PLAIN_WORDS(text.lower())])
+            return sum([self.words[w.translate(BYTE_NAMES)] for w in PLAIN_WORDS(text.lower())])
         normal = self.library.normalizer.normalize_str(text)
-        return sum(self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) if w)
+        return sum(self.words[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) if w)
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """(text before the first blank, tokens between, text after the last); between is None without a blank."""

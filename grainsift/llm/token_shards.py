@@ -16,6 +16,9 @@ filter, binary search in the index, one block.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,21 +77,22 @@ class ShardWriter:
     """Writes one shard to a binary file object; entries come in key order."""
 
     def __init__(self, out, width: int = 2):
-        self.out, self.width, self.dtype = out, width, f"<u{width}"
+        self.out, self.width = out, width
         self.at = self.docs = self.tokens = self.before = 0
         self.block, self.last, self.keys, self.index = bytearray(), b"", [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        key = key_of(doc_id)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: packed integers of the shard's width."""
+        key, count = key_of(doc_id), len(ids) // self.width
         shared = 0
         if self.block:
             while shared < 9 and key[shared] == self.last[shared]:
                 shared += 1
-        self.block += _varint(shared) + _varint(9 - shared) + key[shared:] + _varint(len(ids)) + ids.astype(self.dtype).tobytes()
+        self.block += _varint(shared) + _varint(9 - shared) + key[shared:] + _varint(count) + ids
         self.last = key
         self.keys.append(key)
         self.docs += 1
-        self.tokens += len(ids)
+        self.tokens += count
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -175,9 +179,7 @@ _TOKENIZERS: dict = {}
 
 
 def _tokenizer(name: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
     from tokenizers import Tokenizer
 
     if name not in _TOKENIZERS:
@@ -185,6 +187,68 @@ def _tokenizer(name: str):
     return _TOKENIZERS[name]
 
 
+#: White space other than blank and line feed; a text with any of it goes to the library as a whole.
+ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MEMO_PIECES = 1_000_000
+
+
+class PieceEncoder:
+    """Ids of texts as packed little-endian integers, from the tokenizers library.
+
+    With a byte-level pre-tokeniser a single blank between two other characters always opens a pre-token, so a text may
+    be cut before such blanks and each distinct piece encoded once. Other texts and tokenizers are encoded whole.
+    """
+
+    def __init__(self, name: str, width: int):
+        self.library, self.dtype = _tokenizer(name), f"<u{width}"
+        spec = json.loads(self.library.to_str())
+        blank = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+        self.cuts = not blank and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.pieces: dict[str, bytes] = {}
+        tab = self.library.encode("\t", add_special_tokens=False).ids
+        self.tab = tab[0] if len(tab) == 1 else None
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new pieces, many to a call: pieces open with a blank and hold no tab, so a tab between them is a token of its own."""
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            if self.tab is not None:
+                ids = np.array(self.library.encode_batch_fast([" " + "\t ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+                ends = np.flatnonzero(ids == self.tab)
+                if len(ends) == len(part) - 1:
+                    data, size = ids.tobytes(), ids.itemsize
+                    stop = [*(ends * size).tolist(), len(data)]
+                    start = [0, *((ends + 1) * size).tolist()]
+                    self.pieces.update(zip(part, [data[a:b] for a, b in zip(start, stop, strict=True)], strict=True))
+                    continue
+            for w, e in zip(part, self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
+                self.pieces[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cuts and not ("  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t)) for t in texts]
+        words = [t.split(" ") if c else None for t, c in zip(texts, cut, strict=True)]
+        new = list(set().union(*[w[1:] for w in words if w]) - self.pieces.keys())
+        if len(self.pieces) + len(new) > MEMO_PIECES:
+            self.pieces = {}
+            new = list(set().union(*[w[1:] for w in words if w]))
+        self._learn(new)
+        look = self.pieces.__getitem__
+        return [self.whole(w[0]) + b"".join(map(look, w[1:])) if w else self.whole(t) for t, w in zip(texts, words, strict=True)]
+
+
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def _encoder(name: str, width: int) -> PieceEncoder:
+    """One encoder for each worker process, so that what it remembers serves all its tasks."""
+    if (name, width) not in _ENCODERS:
+        _ENCODERS[name, width] = PieceEncoder(name, width)
+    return _ENCODERS[name, width]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, order_col: str | None = None) -> DataFrame:
     """Encode docs and write one shard per range of identifiers into folder; returns the manifest.
 
@@ -211,17 +275,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
         for b in batches:
             if not b.num_rows:
                 continue
-            tok = _tokenizer(tokenizer)
             if writer is None:
+                encoder, end = _encoder(tokenizer, width), end_id.to_bytes(width, "little")
                 store, base = _file_system(root)
                 shard = b.column(2)[0].as_py()
                 temp, name = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"shard-{shard:06d}.sst"
                 out = store.open_output_stream(temp)
                 writer = ShardWriter(out, width)
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(texts), 16):
-                for k, e in zip(keys[i : i + 16], tok.encode_batch_fast(texts[i : i + 16], add_special_tokens=False), strict=True):
-                    writer.add(k, np.array([*e.ids, end_id], np.uint32))
+            for k, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+                writer.add(k, ids + end)
         if writer is not None:
             writer.close()
             out.close()
@@ -239,7 +301,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
     placed = manifest.select("shard", "path", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
-    placed = placed.repartition(F.col("shard"))
+    placed = placed.repartition(shuffle_partitions(manifest.sparkSession), "shard")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
