@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from grainsift.plans import funnel  # noqa: F401
+    from grainsift.plans import funnel, rules_q  # noqa: F401
 
 
 def queries() -> dict:
