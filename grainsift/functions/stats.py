@@ -1,9 +1,9 @@
 """Statistics as column expressions over counts, and as aggregates."""
 
-from __future__ import annotations
-
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,9 +118,6 @@ def bootstrap_interval(flags: DataFrame, flag: str, order: str, replicates: int
     needs the flags in order, a list bounded by the audited sample. `fixed` successes count in every replicate, over
     `total` items. No flags give no row.
     """
-    import numpy as np
-    import pandas as pd
-
     packed = flags.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(flag).cast("int").alias("_f")))), lambda s: s["_f"]).alias("f")).where(F.size("f") > 0)
     seeds = flags.sparkSession.range(replicates).withColumnRenamed("id", "b")
 
