@@ -68,8 +68,8 @@ def average_rank(value: str, by: list[str] | None = None) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """T-5: rank correlation for each group of `by`; null under three rows or without variance."""
     ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("_c"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & ~F.isnan("_c"), F.col("_c")).alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_c"))
+    return out.select(*by, "n", F.when(F.col("n") >= 3, F.col("_c")).alias("rho"))
 
 
 def risk_and_odds(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:

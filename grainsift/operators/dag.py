@@ -68,6 +68,4 @@ class Pipeline:
                 except Exception as e:  # noqa: BLE001 - any failure of a stage is its state
                     self.state[s.id] = "failed"
                     self.error = f"{s.id}: {e}"
-        for s in self.ready():
-            self.state.setdefault(s.id, "pending")
         return dict(self.state)
