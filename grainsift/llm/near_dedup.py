@@ -30,10 +30,11 @@ ROWS, BANDS = 7, 48
 MINIMA = ROWS * BANDS
 MARGIN = 0.08  # four standard errors of the estimate at the threshold
 BLOCK = 2048  # nodes of a bucket that one task compares with as many others
-CELL_EDGES = 10_000
+CELL_EDGES = 1_500
+BROADCAST_ROWS = 1_000_000  # of (cell, id): up to 16 MB of values meet the texts by broadcast, more by a shuffle
 _SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 600_000)
+_WORD = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 1 << 32, MINIMA, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, MINIMA, np.uint64).astype(np.uint32)[:, None]
@@ -62,8 +63,7 @@ def signature(sets: np.ndarray) -> bytes:
         least = None
         for j in range(0, x.shape[1], 2048):
             y = (x[:, j : j + 2048] ^ _B[i : i + 42]) * _A[i : i + 42]
-            y ^= y >> np.uint32(16)
-            y *= np.uint32(0x85EBCA6B)
+            y ^= y >> np.uint32(15)
             m = y.min(axis=1)
             least = m if least is None else np.minimum(least, m)
         out[i : i + 42] = least
@@ -143,8 +143,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     side = max(1, int((n / CELL_EDGES) ** 0.5) + 1)
     cell = F.pmod(F.xxhash64("u"), F.lit(side)) * side + F.pmod(F.xxhash64("v"), F.lit(side))
     pairs = pairs.withColumn("cell", cell.cast("int"))
-    wanted = pairs.select("cell", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = wanted.join(docs, "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+    wanted = written(pairs.select("cell", F.col("u").alias("doc_id")).union(pairs.select("cell", "v")).distinct(), "near-wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         known = {}
@@ -173,18 +174,19 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
     usable = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "near-nodes")
 
-    bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * ROWS + 1, F.lit(ROWS))))).alias("band", "key"))
+    # The low six bits of a bucket's key are its band.
+    slot = lambda j: F.xxhash64(j, F.substring("sig", j * ROWS + 1, F.lit(ROWS))).bitwiseAND(~63).bitwiseOR(j.cast("long"))
+    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), slot)).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    member = written(bands.join(shared, "key"), "near-members")  # the buckets of lone nodes end here
     turn = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("id"))
-    shared = bands.groupBy("key").agg(F.min(turn).alias("a"), F.max(turn).alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("key", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "n")
-    # Members of buckets with company; the buckets of lone nodes end here.
-    member = written(bands.join(shared, "key"), "near-members")
-    stars = member.select("node", F.explode(F.array("a", "b")).alias("lead")).where("node <> lead")
+    leads = member.groupBy("key").agg(F.array(F.min(turn), F.max(turn)).alias("leads")).select("key", F.col("leads.id").alias("leads"))
+    stars = member.join(leads, "key").select("node", F.explode("leads").alias("lead")).where("node <> lead")
     stars = written(stars.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "near-stars")
     links = written(_confirmed(stars, source, percent), "near-links")
     label = components(links)
 
-    placed = member.select("key", "band", "node", "n").join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("comp"))
+    placed = member.join(label.withColumnRenamed("id", "node"), "node", "left").select("key", F.col("key").bitwiseAND(63).cast("int").alias("band"), "node", "n", F.coalesce("component", "node").alias("comp"))
     placed = written(placed, "near-placed")
     open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
