@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +79,15 @@ class Memo(dict):
             self.clear()
         self[key] = found
         return found
+
+
+@contextlib.contextmanager
+def without_cycle_collection() -> Iterator[None]:
+    """Large tables of strings in a worker hold no cycles, but every full collection walks them; none run inside."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import Memo, bounded_batches
+from grainsift.llm.common import Memo, bounded_batches, without_cycle_collection
 
 CHUNK = 1 << 16  # characters
 MAX_STATES = 100_000  # machine states kept; beyond, it is built anew
@@ -238,7 +238,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
         for b in batches:
-            n = pa.array([0 if t is None else counter.count(t) for t in map(pa.StringScalar.as_py, b.column(1))], pa.int64())
+            with without_cycle_collection():
+                n = pa.array([0 if t is None else counter.count(t) for t in map(pa.StringScalar.as_py, b.column(1))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], ["_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

@@ -2,7 +2,7 @@
 
 A shard holds documents ordered by identifier. Layout, all integers little-endian:
 
-    data blocks   zlib(entries); an entry is
+    data blocks   zstd(entries); an entry is
                   varint shared, varint unshared, key suffix bytes, varint n_tokens, n_tokens ids as u16 or u32
     filter block  Bloom filter bits
     index block   per data block: last key (9 bytes), u64 offset, u32 length, u64 tokens before the block
@@ -27,11 +27,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grainsift.llm.common import bounded_batches, shuffle_partitions, work_path, written
+from grainsift.llm.common import bounded_batches, shuffle_partitions, without_cycle_collection, work_path, written
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -97,7 +98,7 @@ class ShardWriter:
             self._flush()
 
     def _flush(self) -> None:
-        data = zlib.compress(bytes(self.block), 1)
+        data = zstandard.ZstdCompressor(level=1).compress(bytes(self.block))
         self.out.write(data)
         self.index.append(INDEX.pack(self.last, self.at, len(data), self.before))
         self.at += len(data)
@@ -136,7 +137,7 @@ class ShardReader:
         """(id, tokens before, ids) of every entry of block n."""
         _, at, size, start = self.index[n]
         self.file.seek(at)
-        data, pos, key = zlib.decompress(self.file.read(size)), 0, b""
+        data, pos, key = zstandard.ZstdDecompressor().decompress(self.file.read(size)), 0, b""
         while pos < len(data):
             shared, pos = _read_varint(data, pos)
             rest, pos = _read_varint(data, pos)
@@ -189,7 +190,7 @@ def _tokenizer(name: str):
 
 #: White space other than blank and line feed; a text with any of it goes to the library as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 1_400_000
 
 
 class PieceEncoder:
@@ -211,10 +212,11 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new pieces, many to a call: pieces open with a blank and hold no tab, so a tab between them is a token of its own."""
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+    def _encode_pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, many to a call: pieces open with a blank and hold no tab, so a tab between them is a token of its own."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(new), 256):
+            part = new[i : i + 256]
             if self.tab is not None:
                 ids = np.array(self.library.encode_batch_fast([" " + "\t ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
                 ends = np.flatnonzero(ids == self.tab)
@@ -222,21 +224,36 @@ class PieceEncoder:
                     data, size = ids.tobytes(), ids.itemsize
                     stop = [*(ends * size).tolist(), len(data)]
                     start = [0, *((ends + 1) * size).tolist()]
-                    self.pieces.update(zip(part, [data[a:b] for a, b in zip(start, stop, strict=True)], strict=True))
+                    out.update(zip(part, [data[a:b] for a, b in zip(start, stop, strict=True)], strict=True))
                     continue
             for w, e in zip(part, self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
-                self.pieces[w] = np.array(e.ids, self.dtype).tobytes()
+                out[w] = np.array(e.ids, self.dtype).tobytes()
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cuts and not ("  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t)) for t in texts]
-        words = [t.split(" ") if c else None for t, c in zip(texts, cut, strict=True)]
-        new = list(set().union(*[w[1:] for w in words if w]) - self.pieces.keys())
-        if len(self.pieces) + len(new) > MEMO_PIECES:
+        """Pieces are looked up as each text is split; the new ones of all texts are then encoded together and filled in."""
+        done: list[tuple[bytes, list, list | None]] = []
+        new: dict[str, bytes] = {}
+        if len(self.pieces) > MEMO_PIECES:
             self.pieces = {}
-            new = list(set().union(*[w[1:] for w in words if w]))
-        self._learn(new)
-        look = self.pieces.__getitem__
-        return [self.whole(w[0]) + b"".join(map(look, w[1:])) if w else self.whole(t) for t, w in zip(texts, words, strict=True)]
+        look = self.pieces.get
+        for t in texts:
+            if not self.cuts or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t):
+                done.append((self.whole(t), [], None))
+                continue
+            first, *rest = t.split(" ")
+            parts = list(map(look, rest))
+            holes = None
+            if None in parts:
+                holes = [(i, w) for i, (p, w) in enumerate(zip(parts, rest, strict=True)) if p is None]
+                new.update(dict.fromkeys([w for _, w in holes]))
+            done.append((self.whole(first), parts, holes))
+        new = self._encode_pieces(list(new))
+        self.pieces.update(new)
+        for _, parts, holes in done:
+            for i, w in holes or ():
+                parts[i] = new[w]
+        return [head + b"".join(parts) for head, parts, _ in done]
 
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
@@ -259,7 +276,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     then is the key.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=500)
+    bounded_batches(spark, rows=5000)
     n_shards = n_shards or shuffle_partitions(spark)
     width = 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
     root = folder.rstrip("/")
@@ -282,7 +299,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
                 temp, name = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"shard-{shard:06d}.sst"
                 out = store.open_output_stream(temp)
                 writer = ShardWriter(out, width)
-            for k, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
+            with without_cycle_collection():
+                encoded = encoder.encode_all(b.column(1).to_pylist())
+            for k, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
                 writer.add(k, ids + end)
         if writer is not None:
             writer.close()
