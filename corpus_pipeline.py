@@ -58,7 +58,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         placed = docs.withColumn("place", F.col("doc_id"))
     manifest = token_shards.write_shards(placed, work_path(spark, "mixture-shards"), "byte_bpe_50k.json", end_id=0, order_col="place")
     stored = token_shards.read_shards(manifest).select(F.col("doc_id").alias("place"), "start", "n_tokens", "ids_crc32")
-    return placed.select("place", "doc_id").join(stored, "place").select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Planned from the few rows of the manifest, `stored` looks small; it has a row per document, so it is never broadcast.
+    return placed.select("place", "doc_id").hint("merge").join(stored, "place").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [
