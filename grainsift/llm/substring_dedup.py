@@ -7,7 +7,8 @@ that follow each other under one anchor form a run, and a run is all that is shi
 1. Each task cuts its documents into runs and keeps the first of equal runs; the others are removed at once.
 2. Runs meet by anchor. All but the first of equal runs are removed. Where an anchor has different runs, which happens at
    the ends of copied passages, the first of each is checked window by window.
-3. The windows of these runs meet by (anchor, window hash); all but the first occurrence are removed.
+3. The bytes of these runs meet by anchor, and all but the first occurrence of a window are removed. Where an anchor
+   has more than LARGE different runs, their windows meet by (anchor, window hash) instead, spread over all tasks.
 4. The removed intervals of a document meet its text.
 
 Keys are 128 bits (64-bit anchor hash and 64-bit hash of the run or window). No step holds a group of copies in
@@ -132,7 +133,32 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list
         yield rest
 
 
-RUN = "h long, g long, doc long, start long, n int, gone boolean"
+# A run's start, its windows (at most 77) and whether it is removed travel as one long, for rows are many and small.
+RUN = "h long, g long, doc long, at long"
+LARGE = 20_000  # different runs of one anchor; beyond, their windows meet by hash, spread over all tasks
+
+
+def _packed(start: np.ndarray, n: np.ndarray, flag: np.ndarray | int = 0) -> np.ndarray:
+    return (start.astype(np.int64) << 21) | (n.astype(np.int64) << 1) | np.asarray(flag).astype(np.int64)
+
+
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 21, (at >> 1) & 0xFFFFF, (at & 1).astype(bool)
+
+
+def _joined_windows(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, packed start and number) of windows, those that follow each other as one."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(doc)))
+    return doc[head], _packed(start[head], n)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of an Arrow column of longs as arrays, without Python integers; null is empty."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[x:y] if ok else values[:0] for x, y, ok in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
 
 
 def _batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
@@ -150,7 +176,7 @@ def _document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         order, later = _later((h, g), doc, start)
         h, g, doc, start, n = (x[order] for x in (h, g, doc, start, n))
         # A removed run needs no more meeting: its key only spreads such rows evenly.
-        return _batch(RUN, np.where(later, _mixed(doc.astype(np.uint64)), h), np.where(later, np.uint64(0), g), doc, start, n.astype(np.int32), later)
+        return _batch(RUN, np.where(later, _mixed(doc.astype(np.uint64)), h), np.where(later, np.uint64(0), g), doc, _packed(start, n, later))
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -166,54 +192,75 @@ def _document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, start, n, gone): removed runs, and first runs to check window by window (gone false)."""
-    for h, g, doc, start, n, gone in _whole_groups(batches, 1):
-        order, later = _later((h, g), doc, start)
-        h, g, doc, start, n, gone = (x[order] for x in (h, g, doc, start, n, gone))
-        gone = gone.astype(bool)
-        first = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(first) - 1
+    """Rows (h, doc, at, kind): removed runs (0), and first runs to check by window: of anchors with few (1) or many (2) different runs."""
+    for h, g, doc, at in _whole_groups(batches, 1):
+        order, later = _later((h, g), doc, at >> 21)
+        h, g, doc, at = (x[order] for x in (h, g, doc, at))
+        start, n, gone = _unpacked(at)
+        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
         live = ~gone
         kinds = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) & live
-        mixed = np.bincount(group, kinds.astype(float))[group] > 1
-        out = gone | later | (mixed & live)
-        yield _batch("h long, doc long, start long, n int, gone boolean", *(x[out] for x in (h, doc, start, n, gone | (later & live))))
+        several = np.bincount(group, kinds.astype(float))[group]
+        kind = np.where(gone | later, 0, np.where(several > LARGE, 2, 1)).astype(np.int32)
+        out = (kind == 0) | (several > 1)
+        yield _batch("h long, doc long, at long, kind int", *(x[out] for x in (h, doc, _packed(start, n), kind)))
+
 
+MET = "h long, w long, doc long, start long, text binary"
 
-def _run_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, w, doc, start) for every window of the runs listed with each text."""
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, w, doc, start, text) of the runs listed with each text: the bytes of a run, or, for anchors with many
+    different runs, one row for each window with its hash w and no bytes."""
     for b in batches:
-        out = []
-        for i, t, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        text: list[bytes | None] = []
+        for i, t, h, at in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), _lists(b.column(3)), strict=True):
             data = _bytes_of(t)
-            rows = np.array([(r["h"], r["start"], r["n"]) for r in runs.as_py()], np.int64).reshape(-1, 3)
-            rows = rows[rows[:, 1] + rows[:, 2] + LENGTH - 1 <= len(data)]
-            for base in np.unique(rows[:, 1] // SEGMENT).tolist():
-                h, start, n = rows[rows[:, 1] // SEGMENT == base].T
+            start, n, many = _unpacked(at)
+            fits = start + n + LENGTH - 1 <= len(data)
+            h, start, n, many = h[fits], start[fits], n[fits], many[fits]
+            raw = data.tobytes()
+            few = ~many
+            rows.append((h[few], np.zeros(few.sum(), np.uint64), np.full(few.sum(), i, np.int64), start[few]))
+            text += [raw[s : s + k + LENGTH - 1] for s, k in zip(start[few].tolist(), n[few].tolist(), strict=True)]
+            for base in np.unique(start[many] // SEGMENT).tolist():
+                mine = many & (start // SEGMENT == base)
+                k = n[mine]
                 hashes = Hashes(data[base * SEGMENT : (base + 1) * SEGMENT + LENGTH - 1])
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append((np.repeat(h, n), hashes.of(at - base * SEGMENT, LENGTH), np.full(len(at), i, np.int64), at))
-        if out:
-            yield _batch("h long, w long, doc long, start long", *(np.concatenate(x) for x in zip(*out, strict=True)))
-
-
-def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for h, w, doc, start in _whole_groups(batches, 2):
-        order, later = _later((h, w), doc, start)
+                first = np.repeat(start[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                rows.append((np.repeat(h[mine], k), hashes.of(first - base * SEGMENT, LENGTH), np.full(len(first), i, np.int64), first))
+                text += [None] * len(first)
+        if text:
+            h, w, doc, start = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w.view(np.int64)), pa.array(doc), pa.array(start), pa.array(text, pa.binary())], ["h", "w", "doc", "start", "text"])
+
+
+def _meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that also occur earlier: rows (doc, at)."""
+    for h, w, doc, start, text in _whole_groups(batches, 2):
+        size = np.array([LENGTH if t is None else len(t) for t in text])
+        single = np.array([t is None for t in text])
+        ends, n = np.cumsum(size), size - LENGTH + 1
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hashes = Hashes(np.frombuffer(b"".join(bytes(LENGTH) if t is None else t for t in text), np.uint8)).of(np.repeat(ends - size, n) + inside, LENGTH)
+        hashes = np.where(np.repeat(single, n), np.repeat(w.view(np.uint64), n), hashes)
+        doc, start = np.repeat(doc, n), np.repeat(start, n) + inside
+        order, later = _later((np.repeat(h, n), hashes), doc, start)
         at = order[later]
-        yield _batch("doc long, start long, n int", doc[at], start[at], np.ones(len(at), np.int32))
+        yield _batch("doc long, at long", *_joined_windows(doc[at], start[at]))
 
 
 def _removals(batches: Iterator[pa.RecordBatch], tail: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for t, gone in zip(b.column(1), b.column(2), strict=True):
+        for t, gone in zip(b.column(1), _lists(b.column(2)), strict=True):
             data = _bytes_of(t)
             edge = np.zeros(len(data) + 1, np.int32)
-            for s, n in gone.as_py() or ():
-                if s < len(data):
-                    edge[s] += 1
-                    edge[min(s + n + LENGTH - 1, len(data))] -= 1
+            start, n, _ = _unpacked(gone)
+            start, n = start[start < len(data)], n[start < len(data)]
+            np.add.at(edge, start, 1)
+            np.subtract.at(edge, np.minimum(start + n + LENGTH - 1, len(data)), 1)
             out = np.cumsum(edge[:-1]) > 0
             spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
             rows.append((len(data), int(out.sum()), spans, data[~out].tobytes()))
@@ -233,20 +280,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     leave each other alone, and what goes from one goes at the same place from the other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, rows=10_000, mbytes=8)
     parts = shuffle_partitions(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
 
     runs = source.mapInArrow(_document_runs, RUN).repartition(parts, "h").sortWithinPartitions("h")
-    met = written(runs.mapInArrow(_meet_runs, "h long, doc long, start long, n int, gone boolean"), "repeat-runs")
+    met = written(runs.mapInArrow(_meet_runs, "h long, doc long, at long, kind int"), "repeat-runs")
 
-    listed = met.where("NOT gone").groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
-    windows = source.join(listed, "doc").select("doc", "text", "runs").mapInArrow(_run_windows, "h long, w long, doc long, start long")
-    single = windows.repartition(parts, "h", "w").sortWithinPartitions("h", "w").mapInArrow(_meet_windows, "doc long, start long, n int")
-    gone = met.where("gone").select("doc", "start", "n").unionByName(written(single, "repeat-windows"))
+    check = met.where("kind > 0").select("doc", "h", F.col("at").bitwiseOR((F.col("kind") == 2).cast("long")).alias("at"))
+    lists = check.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("r")).select("doc", F.col("r.h").alias("h"), F.col("r.at").alias("at"))
+    rows = source.join(lists, "doc").select("doc", "text", "h", "at").mapInArrow(_run_rows, MET)
+    single = rows.repartition(parts, "h", "w").sortWithinPartitions("h", "w").mapInArrow(_meet_rows, "doc long, at long")
+    gone = met.where("kind = 0").select("doc", "at").unionByName(written(single, "repeat-windows"))
 
-    spans = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    lists = source.join(spans, "doc", "left").select("doc", "text", F.transform("gone", lambda r: F.array(r["start"], r["n"].cast("long"))).alias("gone"))
+    spans = gone.groupBy("doc").agg(F.collect_list("at").alias("gone"))
+    lists = source.join(spans, "doc", "left").select("doc", "text", "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
     out = lists.mapInArrow(lambda b: _removals(b, with_kept), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).withColumnRenamed("doc_id", id_col)
