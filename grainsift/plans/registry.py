@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from grainsift.plans import agg_q, funnel, io_q, more_q, relational_q, rules_q  # noqa: F401
+    from grainsift.plans import agg_q, funnel, io_q, more_q, relational_q, rest_q, rules_q  # noqa: F401
 
 
 def queries() -> dict:
