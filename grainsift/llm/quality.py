@@ -21,15 +21,30 @@ from grainsift.llm.features import bucket_counts, buckets, codes_of, collected_f
 ORDERS, BITS = 3, 16
 TRAIN_ROWS = 4000  # labelled rows that the margin is fitted on, at most; class counts cover all of them
 CALIBRATE = 5
-SMOOTH, COST, BLEND, ROUNDS = 1.0, 1.0, 0.25, 30
+SMOOTH, COST, BLEND, ROUNDS, DAMP = 1.0, 1.0, 0.25, 30, 0.25
 THRESHOLD = 0.7
 BROADCAST_LABELS = 1_000_000  # rows; beyond, labels meet documents in a shuffled join
 
 
+REPEATS = 8  # longest run of repeated words that is told apart
+
+
 def present(text: str) -> np.ndarray:
-    """Buckets of the n-grams of a text, case and punctuation kept."""
+    """Buckets of the n-grams of a text, case and punctuation kept, and of its n-grams of repetition.
+
+    The latter are over a second stream with a symbol for each word, same as the word before or not; only whether it holds
+    1, 2, .. REPEATS repeats in a row matters, so the first buckets stand for these and the others for characters.
+    """
     seen = np.zeros(1 << BITS, bool)
-    seen[buckets(codes_of(text), ORDERS, BITS)] = True
+    seen[np.maximum(buckets(codes_of(text), ORDERS, BITS), REPEATS)] = True
+    seen[:REPEATS] = False
+    words = text.split()
+    longest = run = 0
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 0
+        if run > longest:
+            longest = run
+    seen[: min(longest, REPEATS)] = True
     return np.flatnonzero(seen)
 
 
@@ -40,10 +55,10 @@ class QualityModel:
     bias: float
     slope: float
     shift: float
-    prior: float
+    damp: float  # added to the squared length, so that a text of few n-grams stays near the prior
 
     def margin(self, at: np.ndarray) -> float:
-        norm = np.sqrt((self.ratio[at] ** 2).sum()) if len(at) else 0.0
+        norm = np.sqrt((self.ratio[at] ** 2).sum() + self.damp)
         return float(self.weights[at].sum() / norm if norm > 0 else 0.0) + self.bias
 
     def score(self, text: str | None) -> float:
@@ -104,24 +119,25 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     count, n = bucket_counts(labelled, present, 2, BITS)
     prior = (n[1] + 1) / (n.sum() + 2)
     if n.min() == 0:
-        return QualityModel(np.zeros(size), np.zeros(size), 0.0, 0.0, float(np.log(prior / (1 - prior))), float(prior))
+        return QualityModel(np.zeros(size), np.zeros(size), 0.0, 0.0, float(np.log(prior / (1 - prior))), 1.0)
     p, q = count[1] + SMOOTH, count[0] + SMOOTH
     ratio = np.log(p / (n[1] + 2 * SMOOTH)) - np.log(q / (n[0] + 2 * SMOOTH))
     ratio[(count.sum(0)) == 0] = 0
 
     def scaled(text: str) -> tuple[np.ndarray, np.ndarray]:
         at = present(text)
-        x = ratio[at]
-        return at, x / max(1e-12, np.sqrt((x * x).sum()))
+        return at, ratio[at]
 
-    got = [(k, at, x) for _, k, at, x in collected_features(labelled.where(sampled_rows(marks, rows)), scaled)]
+    got = [(k, at, x.astype(np.float64)) for _, k, at, x in collected_features(labelled.where(sampled_rows(marks, rows)), scaled)]
+    damp = DAMP * float(np.median([(x * x).sum() for _, _, x in got]))
+    got = [(k, at, x / max(1e-12, np.sqrt((x * x).sum() + damp))) for k, at, x in got]
     seen = [(2 * k - 1, at, x) for i, (k, at, x) in enumerate(got) if i % CALIBRATE]
     unseen = [r for i, r in enumerate(got) if i % CALIBRATE == 0]
     few = {y: max(1, sum(r[0] == y for r in seen)) for y in (-1, 1)}
     w, bias = dual_descent(seen, size, {y: COST * len(seen) / (2 * m) for y, m in few.items()})
     used = np.abs(w[ratio != 0]).mean() if (ratio != 0).any() else 0.0
     w = BLEND * used + (1 - BLEND) * w  # the scaled indicators of class 1 are positive
-    model = QualityModel(w * ratio, ratio, bias, 1.0, 0.0, float(prior))
+    model = QualityModel(w * ratio, ratio, bias, 1.0, 0.0, damp)
     margins = np.array([model.margin(at) for _, at, _ in unseen])
     model.slope, model.shift = fit_sigmoid(margins, np.array([k for k, _, _ in unseen])) if len(unseen) else (1.0, 0.0)
     return model
