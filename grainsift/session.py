@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -25,6 +27,14 @@ def get_session(app: str = "grainsift", cores: int | str = "*", shuffle_partitio
     )
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; on a cluster ship it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
