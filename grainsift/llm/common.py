@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from grainsift.session import reach_workers
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
@@ -53,6 +57,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 16) -> None:
     """Keep Arrow batches small in bytes, so that runs of very long texts don't pile up in a Python worker."""
+    reach_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mbytes << 20))
 
@@ -91,3 +96,11 @@ def without_cycle_collection() -> Iterator[None]:
     finally:
         if was:
             gc.enable()
+
+
+def give_back_memory() -> None:
+    """Return what a finished step has freed to the system; a worker process lives on for other steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -22,6 +22,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grainsift.llm.common import bounded_batches, shuffle_partitions, without_cycle_collection, work_path, written
+from grainsift.llm.common import bounded_batches, give_back_memory, shuffle_partitions, without_cycle_collection, work_path, written
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -190,7 +192,8 @@ def _tokenizer(name: str):
 
 #: White space other than blank and line feed; a text with any of it goes to the library as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_PIECES = 1_400_000
+MEMO_PIECES = 700_000
+MEMO_TEXTS = 8_192  # of at most 8 kB of ids
 
 
 class PieceEncoder:
@@ -206,6 +209,7 @@ class PieceEncoder:
         blank = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
         self.cuts = not blank and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.pieces: dict[str, bytes] = {}
+        self.texts: dict[bytes, bytes] = {}  # ids of recent texts by 128-bit digest: copies are encoded once
         tab = self.library.encode("\t", add_special_tokens=False).ids
         self.tab = tab[0] if len(tab) == 1 else None
 
@@ -231,27 +235,38 @@ class PieceEncoder:
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of all texts; a text seen lately in this worker is not encoded again."""
+        digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        new = {d: t for d, t in zip(digests, texts, strict=True) if d not in self.texts}
+        got = dict(zip(new, self._encode_distinct(list(new.values())), strict=True))
+        out = [got[d] if d in got else self.texts[d] for d in digests]
+        if len(self.texts) + len(got) > MEMO_TEXTS:
+            self.texts = {}
+        if len(got) <= MEMO_TEXTS:
+            self.texts.update((d, ids) for d, ids in got.items() if len(ids) <= 1 << 13)
+        return out
+
+    def _encode_distinct(self, texts: list[str]) -> list[bytes]:
         """Pieces are looked up as each text is split; the new ones of all texts are then encoded together and filled in."""
-        done: list[tuple[bytes, list, list | None]] = []
+        done: list[tuple[bytes, list, list]] = []
         new: dict[str, bytes] = {}
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces = {}
+        if len(self.pieces) > MEMO_PIECES:  # start anew with the pieces that these texts use
+            used = set().union(*[t.split(" ") for t in texts])
+            self.pieces = {w: ids for w in used if (ids := self.pieces.get(w)) is not None}
         look = self.pieces.get
         for t in texts:
             if not self.cuts or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t):
-                done.append((self.whole(t), [], None))
+                done.append((self.whole(t), [], []))
                 continue
             first, *rest = t.split(" ")
             parts = list(map(look, rest))
-            holes = None
-            if None in parts:
-                holes = [(i, w) for i, (p, w) in enumerate(zip(parts, rest, strict=True)) if p is None]
-                new.update(dict.fromkeys([w for _, w in holes]))
+            holes = [(i, rest[i]) for i in compress(range(len(parts)), map(not_, parts))]  # ids of a piece are never empty
+            new.update(dict.fromkeys([w for _, w in holes]))
             done.append((self.whole(first), parts, holes))
         new = self._encode_pieces(list(new))
         self.pieces.update(new)
         for _, parts, holes in done:
-            for i, w in holes or ():
+            for i, w in holes:
                 parts[i] = new[w]
         return [head + b"".join(parts) for head, parts, _ in done]
 
@@ -307,6 +322,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
             writer.close()
             out.close()
             store.move(temp, f"{base}/{name}")
+            give_back_memory()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{root}/{name}"]), pa.array([writer.docs]), pa.array([writer.tokens])], ["shard", "path", "docs", "tokens"])
 
     return written(rows.mapInArrow(encode, "shard int, path string, docs long, tokens long"), "token-manifest")
