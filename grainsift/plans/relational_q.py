@@ -93,7 +93,7 @@ def ext_interval_join(spark, sf):
 
 
 # -- aggregation --------------------------------------------------------------------------------------------
-both("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) AS g1, grouping(l_linestatus) AS g2 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+both("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g1, CAST(grouping(l_linestatus) AS BIGINT) AS g2 FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("ext_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 both("ext_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 both("ext_filter_clause", "SELECT event_type, count(*) FILTER (WHERE value > 10) AS big, count(DISTINCT user_id) AS users, max(value) AS top FROM events GROUP BY event_type")
@@ -159,7 +159,7 @@ both("ext_strings", "SELECT doc_id, upper(lang) AS u, lpad(source, 8, '*') AS p,
 def ext_dates(spark, sf):
     d = F.col("o_orderdate")
     return table(spark, sf, "orders").select(
-        "o_orderkey", F.date_trunc("month", d).alias("m"), F.year(d).cast("long").alias("y"), F.dayofyear(d).cast("long").alias("doy"),
+        "o_orderkey", F.date_trunc("month", d).cast("timestamp_ntz").alias("m"), F.year(d).cast("long").alias("y"), F.dayofyear(d).cast("long").alias("doy"),
         F.datediff(F.to_date(d), F.lit("1992-01-01").cast("date")).cast("long").alias("days"), F.date_format(d + F.expr("INTERVAL 1 MONTH"), "yyyy-MM-dd").alias("next"),
     )
 
