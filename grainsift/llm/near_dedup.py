@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import Memo, bounded_batches, discard, shuffle_partitions, written
+from grainsift.llm.common import Memo, bounded_batches, discard, give_back_memory, shuffle_partitions, written
 from grainsift.llm.components import components
 
 WORDS = 5
@@ -129,6 +129,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "n_shingles", "digest", "sig"],
             )
+        give_back_memory()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
@@ -153,6 +154,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             known.setdefault(i, []).append(shingles(t.as_py()))
         u, v = left.column("u").to_pylist(), left.column("v").to_pylist()
         good = [any(linked(a, b, percent) for a in known.get(x, ()) for b in known.get(y, ())) for x, y in zip(u, v, strict=True)]
+        known.clear()
+        give_back_memory()
         return left.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "u long, v long")
