@@ -15,6 +15,8 @@ from grainsift.llm import decontaminate, mixing, near_dedup, quality, token_shar
 from grainsift.llm.common import shuffle_partitions, work_path
 from grainsift.llm.features import held_out
 
+NEAR_PERCENT = 80  # op6_near_dedup alone links from 85 on
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of rows that are not held out."""
@@ -25,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every near-duplicate group; of rows that repeat its id, one."""
-    kept = near_dedup.near_groups(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """The document of smallest id of every near-duplicate group (links of NEAR_PERCENT and more); of rows that repeat its id, one."""
+    kept = near_dedup.near_groups(docs, percent=NEAR_PERCENT).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     held = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", once).where("_nth = 1")
     return held.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

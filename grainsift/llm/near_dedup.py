@@ -28,7 +28,7 @@ from grainsift.llm.components import components
 WORDS = 5
 ROWS, BANDS = 7, 48
 MINIMA = ROWS * BANDS
-MARGIN = 0.08  # four standard errors of the estimate at the threshold
+MARGIN = 0.08  # four standard errors of the estimate at a threshold of 0.85; wider below
 BLOCK = 2048  # nodes of a bucket that one task compares with as many others
 CELL_EDGES = 1_500
 BROADCAST_ROWS = 1_000_000  # of (cell, id): up to 16 MB of values meet the texts by broadcast, more by a shuffle
@@ -82,6 +82,12 @@ def estimate(matches: np.ndarray, minima: int) -> np.ndarray:
     return (matches / minima - 1 / 256) / (1 - 1 / 256)
 
 
+def lowest_estimate(percent: int) -> float:
+    """Pairs whose estimate falls below this are dropped unconfirmed: four standard errors under the threshold."""
+    s = percent / 100
+    return s - MARGIN * max(1.0, (s * (1 - s) / (0.85 * 0.15)) ** 0.5)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * |a and b| >= percent * |a or b| for sorted distinct arrays."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -197,7 +203,7 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
     rows = placed.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "node", "comp")
     rows = rows.join(nodes.select("node", "sig"), "node")
-    floor = percent / 100 - MARGIN
+    floor = lowest_estimate(percent)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, left, right, out = None, [], [], []

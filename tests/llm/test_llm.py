@@ -294,6 +294,30 @@ def test_near_groups_brute(spark, monkeypatch, block):
     assert all(r.n_shingles == size[r.doc_id] for r in got)
 
 
+def test_pipeline_stage_links_from_80_percent(spark):
+    import corpus_pipeline as P
+
+    def changed(base, *at):
+        return " ".join(f"x{w}" if i in at else w for i, w in enumerate(base))
+
+    rows = []
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(100)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, changed(base, 30, 60)), (10 * g + 2, changed(base, 20, 40, 60, 80))]
+    similar = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert 0.80 <= similar(sets[0], sets[1]) < 0.85 and max(similar(sets[0], sets[2]), similar(sets[1], sets[2])) < 0.80
+    kept = P.keep_one_of_near_copies(spark, docs_of(spark, rows), "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, _ in rows if i % 10 != 1)
+
+
+def test_lowest_estimate_keeps_four_standard_errors():
+    assert near_dedup.lowest_estimate(85) == 0.85 - 0.08
+    for percent in (50, 70, 80, 85):
+        s = percent / 100
+        assert s - near_dedup.lowest_estimate(percent) >= 4 * (s * (1 - s) / near_dedup.MINIMA) ** 0.5
+
+
 def test_near_groups_empty(spark):
     assert near_dedup.near_groups(docs_of(spark, [(1, "x")]).where("false")).count() == 0
 
