@@ -5,25 +5,32 @@ by slot ceil((i + 1) / w). Giving each slot to the released block with the earli
 deadline as long as the weights sum to one, so after t slots every source has been given w * t blocks, short
 or over by less than one.
 
-Weights are integer shares of a cycle of D slots. The schedule repeats after D slots, so one cycle is worked
-out on the driver (D steps, a fixed number) and the slot of any block of a corpus of any size is a lookup:
-slot = (block div share) * D + table[source, block mod share].
+Weights are integer shares of CYCLE = 2^40, so over t slots rounding moves a target by less than t / 2^39 blocks.
+Only blocks that exist are scheduled, one step each, in one task that streams the table (source, block, slot,
+release, deadline) into the shared folder: some 16,000 rows a GB of text.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CYCLE = 4096  # slots; weights are rounded to multiples of 1 / CYCLE
+from grainsift.llm.common import written
+from grainsift.session import reach_workers
+
+CYCLE = 1 << 40  # weights are rounded to multiples of 1 / CYCLE
 BLOCK = 1 << 16  # bytes of text
 CHUNKS = 256  # pieces of a source that are summed apart; raised with its rows
 ROWS_PER_CHUNK = 4096
-MAX_SOURCES = CYCLE
+MAX_SOURCES = 1 << 18  # (source, rows, bytes) on the driver
+BROADCAST_BLOCKS = 500_000  # of the schedule, some 30 MB; beyond, rows meet it by a shuffle
+BATCH = 50_000
 NULL_SOURCE = "\x00null"
 
 
@@ -44,23 +51,45 @@ def shares(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int]:
     return out
 
 
-def cycle_table(share: Mapping[str, int]) -> list[tuple[str, int, int]]:
-    """(source, index of the block in the cycle, slot) for one cycle, earliest deadline first."""
-    cycle = sum(share.values())
-    due = lambda s, i: -(-(i + 1) * cycle // share[s])
-    waiting = [(i * cycle // k, s, i) for s, k in share.items() for i in range(k)]
-    waiting.sort()
-    out, ready, at = [], [], 0
-    for slot in range(cycle):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            _, s, i = waiting[at]
-            heapq.heappush(ready, (due(s, i), s, i))
-            at += 1
-        deadline, s, i = heapq.heappop(ready)
+def schedule(share: Sequence[int], blocks: Sequence[int], cycle: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of the first blocks[k] blocks of each source k, earliest deadline first."""
+    waiting = [(0, k, 0) for k, n in enumerate(blocks) if n]  # (release, source, block)
+    heapq.heapify(waiting)
+    ready, slot = [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * cycle // share[k]), k, i, release))
+        deadline, k, i, release = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a deadline was missed")
-        out.append((s, i, slot))
-    return out
+        yield k, i, slot, release, deadline
+        if i + 1 < blocks[k]:
+            heapq.heappush(waiting, ((i + 1) * cycle // share[k], k, i + 1))
+        slot += 1
+
+
+def cycle_table(share: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """(source, index of the block in the cycle, slot) for one cycle."""
+    names = sorted(share)
+    counts = [share[s] for s in names]
+    return [(names[k], i, slot) for k, i, slot, _, _ in schedule(counts, counts, sum(counts))]
+
+
+def _schedule_table(spark: SparkSession, share: Sequence[int], blocks: Sequence[int], cycle: int) -> DataFrame:
+    """schedule() as a table in the shared folder, streamed by one task."""
+    names = ["mix_k", "mix_block", "mix_slot", "mix_release", "mix_deadline"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            rows = schedule(share, blocks, cycle)
+            while part := list(itertools.islice(rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names)
+
+    reach_workers(spark)
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, ", ".join(f"{c} long" for c in names)), "mix-schedule")
 
 
 def source_totals(docs: DataFrame, *, source_col: str = "source", text_col: str = "text") -> dict[str, tuple[int, int]]:
@@ -84,7 +113,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     Within its source a document's place is a seeded shuffle; its block is the one that holds its first byte
     of the source's stream of texts. Documents in order of (mix_slot, mix_offset) are the mixture. No row is
     dropped or repeated: mix_on_target tells whether the slot lies before the first source runs out; up to there
-    each source is within one block of its target, later slots of exhausted sources stay empty.
+    each source is within one block of its target, later slots without a released block stay empty.
 
     Null sources form one source (NULL_SOURCE). Rows of a source without a weight get a null slot and false.
     A text counts its bytes and one more, so null and empty texts have a place too. Rows that repeat an id keep
@@ -117,21 +146,22 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     offset = F.col("mix_base") + F.col("mix_in")
     rows = rows.withColumn("mix_block", F.floor(offset / block).cast("long")).withColumn("mix_offset", offset - F.col("mix_block") * block)
 
-    share_of = spark.createDataFrame(list(share.items()), "mix_s string, mix_k long")  # one row per source, at most `cycle`
-    slots = spark.createDataFrame(cycle_table(share), "mix_s string, mix_i long, mix_at long")  # `cycle` rows
-    rows = rows.join(F.broadcast(share_of), "mix_s", "left").withColumn("mix_i", F.pmod("mix_block", "mix_k"))
-    rows = rows.join(F.broadcast(slots), ["mix_s", "mix_i"], "left")
-    turn = F.expr("mix_block div mix_k") * cycle
+    names = sorted(share)
+    blocks = [-(-totals[s][1] // block) if s in totals else 0 for s in names]
+    slots = _schedule_table(spark, [share[s] for s in names], blocks, cycle)
+    number = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "mix_s string, mix_k long")  # one row per source
+    rows = rows.join(F.broadcast(number), "mix_s", "left")
+    rows = rows.join(F.broadcast(slots) if sum(blocks) <= BROADCAST_BLOCKS else slots.hint("merge"), ["mix_k", "mix_block"], "left")
     # A source runs out with its last whole block; the earliest such release ends the part that is on target.
     end = min((n // block * cycle // share[s] for s, (_, n) in totals.items() if s in share), default=0)
     return rows.select(
         *kept,
         "mix_block",
-        (turn + F.col("mix_at")).alias("mix_slot"),
-        F.expr(f"mix_block * {cycle} div mix_k").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {cycle} + mix_k - 1) div mix_k").alias("mix_deadline"),
+        "mix_slot",
+        "mix_release",
+        "mix_deadline",
         "mix_offset",
-        F.coalesce(turn + F.col("mix_at") < end, F.lit(False)).alias("mix_on_target"),
+        F.coalesce(F.col("mix_slot") < end, F.lit(False)).alias("mix_on_target"),
     )
 
 

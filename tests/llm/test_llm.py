@@ -119,6 +119,45 @@ def test_mix_order_keeps_all_rows_and_targets(spark):
     assert all(again[r.doc_id] == r.mix_slot for r in placed if r.doc_id not in (0, 7, None))
 
 
+def test_mix_order_stays_within_one_block_of_the_weights(spark):
+    weights = {"a": 1.0, "b": 1e-4, "c": 1 / 3}
+    rows = [(i, "x" * 15, "a") for i in range(30_000)] + [(i, "y" * 15, "b") for i in range(40_000, 40_010)] + [(i, "z" * 15, "c") for i in range(50_000, 62_000)]
+    out = mixing.mix_order(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block=16).where("mix_on_target").collect()
+    order, total, done = {r.mix_slot: r.source for r in out}, sum(weights.values()), Counter()
+    assert sorted(order) == list(range(len(out))) and len(out) > 35_000
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+    for t in range(len(out)):
+        done[order[t]] += 1
+        assert all(abs(done[s] - w / total * (t + 1)) < 1 + 1e-6 for s, w in weights.items()), t
+
+
+def test_schedule_of_a_large_corpus():
+    rnd = random.Random(11)
+    size = {f"s{i}": rnd.randint(10**9, 4 * 10**9) for i in range(19)} | {"big": 15 * 10**9}  # bytes, 60 GB
+    weights = {s: n**0.5 for s, n in size.items()}
+    names, total = sorted(weights), sum(weights.values())
+    share, blocks = mixing.shares(weights), [size[s] // mixing.BLOCK for s in names]
+    assert max(abs(share[s] / mixing.CYCLE - w / total) for s, w in weights.items()) * sum(blocks) < 1e-3
+    end = min(n * mixing.CYCLE // share[s] for s, n in zip(names, blocks, strict=True))
+    done = [0] * len(names)
+    exact = [weights[s] / total for s in names]
+    for k, i, slot, _, _ in itertools.takewhile(lambda r: r[2] < end, mixing.schedule([share[s] for s in names], blocks, mixing.CYCLE)):
+        assert i == done[k] and abs(done[k] - exact[k] * slot) < 1.01  # before its own block: neither early nor late
+        done[k] += 1
+        assert abs(done[k] - exact[k] * (slot + 1)) < 1.01
+    assert end > 200_000
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_mix_order_of_many_sources(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", broadcast)
+    rows = [(i, "x" * (i % 40), f"s{i % 5000}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    totals = mixing.source_totals(df)
+    out = mixing.mix_order(df, mixing.temperature_weights(totals, 0.5), totals=totals, block=64).collect()
+    assert len(totals) == 5000 and len(out) == 10_000 and all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out)
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------
 def test_shard_format_lookup():
     rnd = random.Random(2)
