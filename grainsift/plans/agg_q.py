@@ -242,6 +242,21 @@ def a26_citation_relevance(spark, sf):
     return d.join(b, "item_id").select("item_id", s.alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean_jaccard"), F.count_if(F.col("s") < 0.1).alias("weak"))
 
 
+def item_count(benchmark) -> int:
+    """Item ids run from 0, so documents are dealt to items by doc_id modulo this."""
+    return (benchmark.agg(F.max("item_id")).first()[0] or 0) + 1
+
+
+@query("a26_citation_relevance_whole")
+def a26_citation_relevance_whole(spark, sf):
+    """a26_citation_relevance over whole texts and all benchmark items."""
+    words = lambda c: F.array_distinct(X.tokens(c))
+    b = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("bs"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % item_count(b)).alias("item_id"), words(F.col("text")).alias("ws"))
+    s = F.size(F.array_intersect("ws", "bs")) / F.size(F.array_union("ws", "bs"))
+    return d.join(b, "item_id").select("item_id", s.alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean_jaccard"), F.count_if(F.col("s") < 0.1).alias("weak"))
+
+
 @query("a27_validity_gate", f"SELECT count(*) AS total, count(DISTINCT o_custkey) AS unique_ids, count(*) FILTER (supports = 'error') AS invalid, CASE WHEN count(*) FILTER (supports = 'error') / count(*) < 0.05 AND count(*) FILTER (supports = 'yes') / count(*) > 0.9 THEN 'PASS' ELSE 'FAIL' END AS gate FROM ({SUPPORTS})")
 def a27_validity_gate(spark, sf):
     bad, good = F.count_if(F.col("supports") == "error"), F.count_if(F.col("supports") == "yes")
@@ -470,6 +485,14 @@ def t12_similarity_summary(spark, sf):
     return table(spark, sf, "documents").select(s.alias("s")).agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.max("s").alias("top"))
 
 
+@query("t12_similarity_summary_whole")
+def t12_similarity_summary_whole(spark, sf):
+    """t12_similarity_summary between the two halves of whole texts."""
+    half = F.expr("length(text) div 2").cast("int")
+    s = F.size(F.array_intersect(X.tokens(F.left("text", half)), X.tokens(F.right("text", F.length("text") - half)))).cast("long")
+    return table(spark, sf, "documents").select(s.alias("s")).agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.max("s").alias("top"))
+
+
 @query("t13_logprob_delta", "SELECT avg(value) FILTER (user_id % 2 = 0) - avg(value) FILTER (user_id % 2 = 1) AS delta, median(value) FILTER (user_id % 2 = 0) AS core_median, median(value) FILTER (user_id % 2 = 1) AS reference_median FROM events")
 def t13_logprob_delta(spark, sf):
     side = lambda k: F.when(F.col("user_id") % 2 == k, F.col("value"))

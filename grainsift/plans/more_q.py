@@ -141,6 +141,13 @@ def x20_prompt_block(spark, sf):
     return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), F.left(x["text"], F.lit(20)))), "\n").alias("prompt"))
 
 
+@query("x20_prompt_block_whole")
+def x20_prompt_block_whole(spark, sf):
+    """x20_prompt_block of all turns and whole texts."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
+    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+
+
 @query("m6_hashed_embedding")
 def m6_hashed_embedding(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", P.hashed_embedding(F.col("text"), 16).alias("v"))

@@ -43,6 +43,12 @@ def f1_quality_reason(spark, sf):
     return q.select("doc_id", R.quality_reason(F.col("q")).alias("reason"))
 
 
+@query("f1_quality_reason_whole")
+def f1_quality_reason_whole(spark, sf):
+    """f1_quality_reason over whole texts."""
+    return docs(spark, sf, "doc_id", R.quality_reason(F.concat("text", F.lit("?"))).alias("reason"))
+
+
 @query(
     "f2_short_document_guard",
     """SELECT doc_id, length(CASE WHEN length(text) > 15000 THEN left(text, 15000) || chr(10) || '[truncated]' ELSE text END) AS n
@@ -135,6 +141,13 @@ def f10_claim_predicates(spark, sf):
     return docs(spark, sf, "doc_id", X.is_fragment(c).alias("fragment"), X.is_substantive(c).alias("substantive"))
 
 
+@query("f10_claim_predicates_whole")
+def f10_claim_predicates_whole(spark, sf):
+    """f10_claim_predicates over whole texts."""
+    c = F.col("text")
+    return docs(spark, sf, "doc_id", X.is_fragment(c).alias("fragment"), X.is_substantive(c).alias("substantive"))
+
+
 REFUSAL_SQL = X.REFUSAL.replace("'", "''")
 
 
