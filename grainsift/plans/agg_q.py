@@ -335,6 +335,13 @@ def j4_join_on_normal_text(spark, sf):
     return a.join(b, "key").where("a < b").select("a", "b")
 
 
+@query("j4_join_on_normal_text_whole")
+def j4_join_on_normal_text_whole(spark, sf):
+    """j4_join_on_normal_text over all pairs of ids."""
+    k = table(spark, sf, "documents").select("doc_id", F.md5(X.normal_key(F.col("text"))).alias("key"))
+    return k.withColumnRenamed("doc_id", "a").join(k.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b")
+
+
 @query("j5_fallback_key", "SELECT d.doc_id, coalesce(l1.quality, l2.quality) AS quality FROM documents d LEFT JOIN labels l1 ON d.doc_id = l1.doc_id LEFT JOIN labels l2 ON d.doc_id // 2 = l2.doc_id")
 def j5_fallback_key(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 2").alias("half"))
@@ -667,8 +674,8 @@ def m1_token_jaccard(spark, sf):
 
 @query("m2_longest_common_run")
 def m2_longest_common_run(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.tokens(F.col("text")).alias("a"))
     b = table(spark, sf, "benchmark").select("item_id", X.tokens(F.col("text")).alias("b"))
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % item_count(b)).alias("item_id"), X.tokens(F.col("text")).alias("a"))
     return D.longest_common_runs(d.join(b, "item_id"), "a", "b").select("doc_id", "item_id", "run")
 
 

@@ -129,6 +129,12 @@ def l2_sorted_export(spark, sf):
     return table(spark, sf, "orders").where("o_orderkey % 50 = 0").select("o_orderpriority", "o_orderkey").sort("o_orderpriority", "o_orderkey")
 
 
+@query("l2_sorted_export_whole")
+def l2_sorted_export_whole(spark, sf):
+    """l2_sorted_export of all orders."""
+    return table(spark, sf, "orders").select("o_orderpriority", "o_orderkey").sort("o_orderpriority", "o_orderkey")
+
+
 @query("x8_judge_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def x8_judge_json(spark, sf):
     answer = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))

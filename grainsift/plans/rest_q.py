@@ -119,6 +119,15 @@ def d3_distinct_citations(spark, sf):
     return rows.groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("d3_distinct_citations_whole")
+def d3_distinct_citations_whole(spark, sf):
+    """d3_distinct_citations of all events."""
+    ident = (F.col("event_id") + 10000).cast("string")
+    said = F.concat(F.lit("As PMID: "), ident, F.lit(" shows, and PMID "), ident, F.lit(" again, NCT12345678."))
+    rows = CI.citations(table(spark, sf, "events").select("event_id", said.alias("a")), ["event_id"], "a")
+    return rows.groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
+
+
 @query("x12_labels_and_versions", "SELECT event_id, 'b:' || user_id AS rest, 'p' || event_id AS base FROM events")
 def x12_labels_and_versions(spark, sf):
     labelled = F.concat(F.lit("a:b:"), F.col("user_id").cast("string"))
@@ -140,6 +149,12 @@ def x15_rounding_inputs(spark, sf):
     return table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (F.floor(F.col("l_extendedprice") * 10 + 0.5) / 10).alias("r"))
 
 
+@query("x15_rounding_inputs_whole")
+def x15_rounding_inputs_whole(spark, sf):
+    """x15_rounding_inputs of all lines."""
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.floor(F.col("l_extendedprice") * 10 + 0.5) / 10).alias("r"))
+
+
 @query("x16_array_functions", "SELECT doc_id, list_contains([1, 2, 3], doc_id % 5) AS has, len(list_intersect([1, 2, 3], [doc_id % 5, 3])) AS common, len(list_distinct([doc_id % 2, 1, 1])) AS kinds FROM documents")
 def x16_array_functions(spark, sf):
     one = F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>")
@@ -183,6 +198,15 @@ def r11_replay_with_fallback(spark, sf):
     return got.groupBy("tool").agg(F.count_if(~F.col("hit") & F.col("response").startswith("live")).alias("misses"))
 
 
+@query("r11_replay_with_fallback_whole")
+def r11_replay_with_fallback_whole(spark, sf):
+    """r11_replay_with_fallback over all events."""
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("tool"), F.col("event_id").cast("string").alias("args"))
+    cache = calls.where("cast(args as long) % 2 = 0").withColumn("response", F.lit("stored"))
+    got = P.replayed(calls, cache, lambda: lambda tool, args: f"live {tool} {args}")
+    return got.groupBy("tool").agg(F.count_if(~F.col("hit") & F.col("response").startswith("live")).alias("misses"))
+
+
 @query("r12_bounded_tasks", "SELECT count(*) AS n FROM documents")
 def r12_bounded_tasks(spark, sf):
     """Concurrency of client calls is the number of partitions, four here."""

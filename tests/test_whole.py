@@ -12,6 +12,11 @@ CUTS = {
     "a26_citation_relevance": [("left(text, 300)", "text")],  # 40 items in the smallest data
     "t12_similarity_summary": [("left(text, 200)", "left(text, length(text) // 2)"), ("right(text, 200)", "right(text, length(text) - length(text) // 2)")],
     "x20_prompt_block": [("left(text, 20)", "text"), (" WHERE turn < 3", "")],
+    "l2_sorted_export": [(" WHERE o_orderkey % 50 = 0", "")],
+    "x15_rounding_inputs": [(" WHERE l_orderkey % 50 = 0", "")],
+    "d3_distinct_citations": [(" WHERE event_id % 20 = 0", "")],
+    "r11_replay_with_fallback": [(" WHERE event_id < 400", "")],
+    "j4_join_on_normal_text": [(" AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1", "")],
 }
 
 
@@ -27,6 +32,11 @@ def test_whole(spark, sf, duck, name):  # noqa: F811
     assert got != rows_of(duck.sql(ORACLES[name]).fetchall(), want.columns)
 
 
+def test_sorted_export_is_in_order(spark, sf):
+    got = [tuple(r) for r in QUERIES["l2_sorted_export_whole"](spark, sf).collect()]
+    assert got == sorted(got)
+
+
 def test_all_benchmark_items_are_compared(spark, tmp_path):
     rnd = random.Random(5)
     text = lambda n: " ".join(rnd.choice("abcdef") for _ in range(n))
@@ -34,6 +44,12 @@ def test_all_benchmark_items_are_compared(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
 
+    def run(a, b):
+        a, b = a.split(), b.split()
+        return max(n for n in range(9) if any(a[i : i + n] == b[j : j + n] for i in range(len(a) - n + 1) for j in range(len(b) - n + 1)))
+
+    got = QUERIES["m2_longest_common_run"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.run) for r in got) == [(i, i % 50, run(t, items[i % 50][1])) for i, t in rows]
     got = {r.item_id: (r.n, round(r.mean_jaccard, 9)) for r in QUERIES["a26_citation_relevance_whole"](spark, str(tmp_path)).collect()}
     similar = lambda a, b: len(a & b) / len(a | b)
     words = lambda t: set(re.findall("[a-z0-9]+", t))
