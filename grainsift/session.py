@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,21 @@ def get_session(app: str = "grainsift", cores: int | str = "*", shuffle_partitio
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only a session on this machine alone may name none; it gets a temporary folder. On a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="grainsift-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package wherever the driver was started; on a cluster ship it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,16 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from grainsift.session import shared_folder
+
 CORRUPT = "_corrupt_record"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the session's shared checkpoint folder, or in a local folder where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="grainsift-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
+    """A fresh path in the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:10]}"
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: StructType | str) -> DataFrame:
