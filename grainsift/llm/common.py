@@ -5,26 +5,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from grainsift.session import reach_workers
+from grainsift.session import reach_workers, shared_folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (a local test) is a folder made on this machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="grainsift-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
+    return shared_folder(spark)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.llm.common import bounded_batches
-from grainsift.llm.features import bucket_counts, buckets, collected_features, held_out, letters_only, sampled_rows
+from grainsift.llm.features import bucket_counts, bucket_segments, class_quotas, collected_features, has_letter, held_out, letter_segments, sampled_rows
 
 ORDERS, BITS = 3, 15
 TRAIN_ROWS = 3000  # labelled rows that the weights are fitted on, at most; idf counts cover all of them
@@ -51,11 +51,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and unit-length weights (1 + ln tf) * idf of a text; empty without a letter."""
-    b = buckets(letters_only(text), ORDERS, BITS)
-    if not len(b):
-        return b, np.zeros(0, np.float32)
-    n = np.bincount(b, minlength=1 << BITS)
+    n = np.zeros(1 << BITS, np.int64)
+    if has_letter(text):
+        for part in bucket_segments(letter_segments(text), ORDERS, BITS):
+            n += np.bincount(part, minlength=1 << BITS)
     at = np.flatnonzero(n)
+    if not len(at):
+        return at, np.zeros(0, np.float32)
     x = (1 + np.log(n[at])) * idf[at]
     return at, (x / max(1e-12, np.sqrt((x * x).sum()))).astype(np.float32)
 
@@ -106,26 +108,30 @@ def fit_language_model(docs: DataFrame, train: "F.Column", *, id_col: str = "doc
     """Fit on the rows of docs where train holds and the language is known.
 
     Document frequencies cover all these rows and their whole texts; the weights are fitted on at most `rows`
-    of them, the smallest by a hash of the id.
+    of them (or one for each language), of each language the smallest by a hash of the id, with a share for rare ones.
     """
     labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    langs = sorted(r[0] for r in labelled.select("_lang").distinct().limit(MAX_CLASSES + 1).collect())
-    if len(langs) > MAX_CLASSES:
+    found = {r[0]: r[1] for r in labelled.groupBy("_lang").count().limit(MAX_CLASSES + 1).collect()}
+    if len(found) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} languages")
+    langs = sorted(found)
     size = 1 << BITS
     if not langs:
         return LanguageModel([], np.ones(size), np.zeros((size, 0)), np.zeros(0), 1.0)
 
     def present(text: str) -> np.ndarray:
         seen = np.zeros(size, bool)
-        seen[buckets(letters_only(text), ORDERS, BITS)] = True
+        if has_letter(text):
+            for part in bucket_segments(letter_segments(text), ORDERS, BITS):
+                seen[part] = True
         return np.flatnonzero(seen)
 
     df, n = bucket_counts(labelled.select(F.lit(0).alias("_class"), "_text"), present, 1, BITS)
     idf = np.log((1 + n[0]) / (1 + df[0])) + 1
     classes = F.array_position(F.lit(langs), F.col("_lang")).cast("int") - 1
-    sample = labelled.where(sampled_rows(labelled, rows)).select("_id", classes.alias("_class"), "_text")
-    got = [(k, at, x) for _, k, at, x in collected_features(sample, lambda t: tfidf(t, idf)) if len(at)]
+    sizes = {k: found[s] for k, s in enumerate(langs)}
+    sample = labelled.select("_id", classes.alias("_class"), "_text").where(sampled_rows(sizes, rows))
+    got = [(k, at, x) for _, k, at, x in collected_features(sample, lambda t: tfidf(t, idf), class_quotas(sizes, rows)) if len(at)]
     seen = [r for i, r in enumerate(got) if i % CALIBRATE] or got
     unseen = got[::CALIBRATE]
     weights, bias = ftrl(seen, len(langs), size)

@@ -7,6 +7,7 @@ margin is mapped to a probability by a sigmoid fitted on rows that the descent d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainsift.llm.common import bounded_batches
-from grainsift.llm.features import bucket_counts, buckets, codes_of, collected_features, held_out, sampled_rows
+from grainsift.llm.features import SEGMENT, bucket_counts, bucket_segments, class_quotas, code_segments, collected_features, held_out, sampled_rows
 
 ORDERS, BITS = 3, 16
 TRAIN_ROWS = 4000  # labelled rows that the margin is fitted on, at most; class counts cover all of them
@@ -36,14 +37,15 @@ def present(text: str) -> np.ndarray:
     1, 2, .. REPEATS repeats in a row matters, so the first buckets stand for these and the others for characters.
     """
     seen = np.zeros(1 << BITS, bool)
-    seen[np.maximum(buckets(codes_of(text), ORDERS, BITS), REPEATS)] = True
+    for part in bucket_segments(code_segments(text), ORDERS, BITS):
+        seen[np.maximum(part, REPEATS)] = True
     seen[:REPEATS] = False
-    words = text.split()
-    longest = run = 0
-    for a, b in zip(words, words[1:], strict=False):
-        run = run + 1 if a == b else 0
+    longest, run, before = 0, 0, None
+    for word in text.split() if len(text) <= SEGMENT else map(re.Match.group, re.finditer(r"\S+", text)):
+        run = run + 1 if word == before else 0
         if run > longest:
             longest = run
+        before = word
     seen[: min(longest, REPEATS)] = True
     return np.flatnonzero(seen)
 
@@ -108,8 +110,9 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     """Fit on docs that labels marks 0 or 1 (of several marks for one id the largest counts).
 
     Class counts cover the whole texts of all labelled rows; the margin and its sigmoid are fitted on at most
-    `rows` of them, the smallest by a hash of the id. Without rows of both classes every score is the smoothed
-    share of class 1.
+    `rows` of these (labels of other documents don't count), of each class the smallest by a hash of the id; the
+    sigmoid is moved to the class shares of all labelled rows. Without rows of both classes every score is the
+    smoothed share of class 1.
     """
     size = 1 << BITS
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_class"))
@@ -128,7 +131,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
         at = present(text)
         return at, ratio[at]
 
-    got = [(k, at, x.astype(np.float64)) for _, k, at, x in collected_features(labelled.where(sampled_rows(marks, rows)), scaled)]
+    sizes = {k: int(n[k]) for k in (0, 1)}
+    got = [(k, at, x.astype(np.float64)) for _, k, at, x in collected_features(labelled.where(sampled_rows(sizes, rows)), scaled, class_quotas(sizes, rows))]
     damp = DAMP * float(np.median([(x * x).sum() for _, _, x in got]))
     got = [(k, at, x / max(1e-12, np.sqrt((x * x).sum() + damp))) for k, at, x in got]
     seen = [(2 * k - 1, at, x) for i, (k, at, x) in enumerate(got) if i % CALIBRATE]
@@ -140,6 +144,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     model = QualityModel(w * ratio, ratio, bias, 1.0, 0.0, damp)
     margins = np.array([model.margin(at) for _, at, _ in unseen])
     model.slope, model.shift = fit_sigmoid(margins, np.array([k for k, _, _ in unseen])) if len(unseen) else (1.0, 0.0)
+    taken = [sum(k == y for k, _, _ in got) for y in (0, 1)]
+    model.shift += float(np.log(n[1] / n[0]) - np.log(taken[1] / taken[0]))
     return model
 
 
