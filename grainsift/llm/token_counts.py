@@ -27,6 +27,7 @@ from grainsift.llm.common import Memo, bounded_batches, without_cycle_collection
 
 CHUNK = 1 << 16  # characters
 MAX_STATES = 100_000  # machine states kept; beyond, it is built anew
+MAX_PAIRS = 400_000  # pairs of tokens judged whose answer is remembered
 MAX_WORDS = 600_000  # fragments, and pre-tokens, whose count is remembered
 LIMIT = 2048
 #: Fixed: the pre-token pattern of the vocabulary file that the short way for plain texts covers.
@@ -62,7 +63,8 @@ class BpeTransducer:
             (self.final if suffix and token.endswith(suffix) and token != suffix else self.inner)[node] = token
         if not suffix:
             self.final = self.inner
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Memo(lambda pair: self._stands(*pair, False), MAX_PAIRS)
+        self.last_pairs = Memo(lambda pair: self._stands(*pair, True), MAX_PAIRS)
         self._reset()
 
     def _reset(self) -> None:
@@ -87,13 +89,9 @@ class BpeTransducer:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def _follows(self, left: str | None, token: str, last: bool) -> bool:
-        """Whether token can stand after left in an encoding (left None: at the start)."""
-        key = (left or "", token)
-        if key not in self.pairs:
-            symbols = ([*left] if left else []) + self._symbols(token, last)
-            self.pairs[key] = self.merged(symbols) == ([left, token] if left else [token])
-        return self.pairs[key]
+    def _stands(self, left: str, token: str, last: bool) -> bool:
+        """Whether token can stand after left in an encoding (left empty: at the start)."""
+        return self.merged([*left, *self._symbols(token, last)]) == ([left, token] if left else [token])
 
     def _advance(self, state: int, ch: str, last: bool) -> tuple[list[tuple[int, str | None, int]], str | None, int]:
         """Open positions after ch; the last token of the prefix and its count relative to the state."""
@@ -104,7 +102,7 @@ class BpeTransducer:
                 continue
             opened.append((down, left, n))
             found = (self.final if last else self.inner)[down]
-            if token is None and found is not None and self._follows(left, found, last):
+            if token is None and found is not None and (self.last_pairs if last else self.pairs)[left or "", found]:
                 token, count = found, n + 1
         return opened, token, count
 
@@ -115,6 +113,8 @@ class BpeTransducer:
             opened = []
         content = tuple((node, left, n - count) for node, left, n in opened) + ((0, token, 0),)
         if content not in self.states:
+            if len(self.content) >= MAX_STATES:  # built anew; the state reached is the first to be kept
+                self._reset()
             self.states[content] = len(self.content)
             self.content.append(content)
             self.step.append({})
@@ -123,13 +123,12 @@ class BpeTransducer:
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token, its bytes written as the vocabulary writes them."""
-        if len(self.content) > MAX_STATES:
-            self._reset()
         state, total, step = 0, 0, self.step
         for ch in word[:-1]:
             found = step[state].get(ch)
             if found is None:
                 found = step[state][ch] = self.transition(state, ch)
+                step = self.step
             state, delta = found
             total += delta
         end = word[-1]
