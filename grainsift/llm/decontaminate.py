@@ -22,6 +22,9 @@ EDIT_RATE = 0.1
 PIECE, STEP = 128, 64  # longer passages are searched in overlapping pieces
 BLOCK_CHARS = 4 << 20  # passage characters indexed at once; more are searched block after block
 BITS = 20
+STRETCH = 1 << 16  # characters searched at once
+HITS = 1 << 20  # postings expanded at once
+SPAN = 1 << 20  # band numbers of one piece in a stretch
 
 _FOLD: list[np.ndarray] = []
 
@@ -85,16 +88,24 @@ class PassageIndex:
 
     def __init__(self, items: Sequence[tuple[int, str]], rate: float = EDIT_RATE):
         self.items, self.pieces, self.edits, hashes, owner, at = [], [], [], [], [], []
+        known: dict[bytes, int] = {}  # equal pieces are searched once
         for item, text in items:
             codes = normal_form(text or "")
             if len(codes) < Q:
                 continue
-            last = len(codes) - PIECE
+            last, mine = len(codes) - PIECE, set()
             for start in [0] if last <= 0 else sorted({*range(0, last, STEP), last}):
                 piece = codes[start : start + PIECE]
+                p = known.setdefault(piece.astype(np.uint32).tobytes(), len(self.pieces))
+                if p < len(self.pieces):
+                    if p not in mine:
+                        self.items[p].append(item)
+                    mine.add(p)
+                    continue
+                mine.add(p)
                 g = grams(piece)
-                self.items.append(item)
-                self.edits.append(min(int(rate * len(piece)), (len(piece) - Q) // Q))
+                self.items.append([item])
+                self.edits.append(min(int(rate * len(piece)), (len(piece) - Q) // Q))  # so that the lemma asks for one gram at least
                 hashes.append(g)
                 owner.append(np.full(len(g), len(self.pieces)))
                 at.append(np.arange(len(g)))
@@ -102,6 +113,7 @@ class PassageIndex:
         self.edits = np.array(self.edits, np.int64)
         self.need = np.array([len(p) - Q + 1 for p in self.pieces], np.int64) - Q * self.edits
         self.width = np.maximum(1, self.edits)
+        self.reach = PIECE + 4 * int(self.edits.max(initial=0)) + Q
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint32)
         order = np.argsort(h, kind="stable")
         self.owner, self.at = (np.concatenate(x)[order] if hashes else np.zeros(0, np.int64) for x in (owner, at))
@@ -109,51 +121,78 @@ class PassageIndex:
         self.gate = np.zeros(1 << BITS, bool)
         self.gate[h >> np.uint32(32 - BITS)] = True
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of verified regions, in characters of the text; the best region for each piece."""
-        plain = folded(text)
-        kept = stays(plain)
-        codes = plain[kept]
+    def _crowded_bands(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers piece * SPAN + band of the diagonal bands of a stretch of text that hold enough q-grams, in ascending order.
+
+        Postings are counted at most HITS at a time, so a gram that many pieces or places share takes time but no memory.
+        """
         h = grams(codes)
-        if not len(h) or not len(self.keys):
-            return []
         spots = np.flatnonzero(self.gate[h >> np.uint32(32 - BITS)])
-        if not len(spots):
-            return []
-        got = h[spots]
-        slot = np.searchsorted(self.keys, got)
+        slot = np.searchsorted(self.keys, h[spots])
         slot[slot == len(self.keys)] = 0
-        real = self.keys[slot] == got
+        real = self.keys[slot] == h[spots]
         spots, slot = spots[real], slot[real]
-        n = self.count[slot]
-        if not len(n):
-            return []
-        post = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        piece, diagonal = self.owner[post], np.repeat(spots, n) - self.at[post]
-        band = np.floor_divide(diagonal, self.width[piece])
-        span = int(band.max() - band.min()) + 3
-        low = int(band.min()) - 1
-        key = piece * span + (band - low)
-        keys, hits = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # band b covers b * w .. (b + 2) * w
-        enough = hits >= self.need[keys // span]
-        keys = keys[enough][np.argsort(-hits[enough], kind="stable")]  # fullest band first
-        found: dict[int, tuple[int, int, int]] = {}
-        for k in keys.tolist():
-            p, d = k // span, (k % span + low) * int(self.width[k // span])
-            e, w = int(self.edits[p]), int(self.width[p])
-            if p in found and found[p][2] == 0:
-                continue
-            mine = np.unique(diagonal[(piece == p) & (diagonal >= d) & (diagonal <= d + 2 * w)])
-            exact = next((x for x in mine.tolist() if x >= 0 and np.array_equal(codes[x : x + len(self.pieces[p])], self.pieces[p])), None)
-            if exact is not None:
-                found[p] = (exact, exact + len(self.pieces[p]), 0)
-                continue
-            lo, hi = max(0, d - e), min(len(codes), d + 2 * w + len(self.pieces[p]) + e)
-            hit = align(self.pieces[p], codes[lo:hi], d - lo, d + 2 * w - lo, e)
-            if hit and (p not in found or hit[2] < found[p][2]):
-                found[p] = (lo + hit[0], lo + hit[1], hit[2])
+        ends = np.cumsum(self.count[slot])
+        keys, hits, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while i < len(spots):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, "right")))
+            n = self.count[slot[i:j]]
+            post = np.repeat(self.first[slot[i:j]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            piece = self.owner[post]
+            band = np.floor_divide(np.repeat(spots[i:j], n) - self.at[post], self.width[piece])
+            key = piece * SPAN + (band + SPAN // 2)
+            some, times = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # band b covers b * w .. (b + 2) * w
+            keys, back = np.unique(np.concatenate([keys, some]), return_inverse=True)
+            hits = np.bincount(back, np.concatenate([hits, times]), len(keys)).astype(np.int64)
+            i = j
+        return keys[hits >= self.need[keys // SPAN]] if len(keys) else keys
+
+    def _region(self, p: int, codes: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+        """The best (start, end, edits) of piece p that starts on a diagonal from low to high."""
+        piece, e = self.pieces[p], int(self.edits[p])
+        lo, hi = max(0, low), min(len(codes), high + len(piece))
+        if hi - lo >= len(piece):  # a copy to the letter
+            window = np.lib.stride_tricks.sliding_window_view(codes[lo:hi], len(piece))
+            starts = np.flatnonzero(window[:, 0] == piece[0])
+            same = starts[(window[starts] == piece).all(axis=1)]
+            if len(same):
+                return lo + int(same[0]), lo + int(same[0]) + len(piece), 0
+        lo, hi = max(0, low - e), min(len(codes), high + len(piece) + e)
+        hit = align(piece, codes[lo:hi], low - lo, high - lo, e) if e and hi > lo else None
+        return (lo + hit[0], lo + hit[1], hit[2]) if hit else None
+
+    def find(self, text: str, first_only: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of verified regions, in characters of the text: for each piece, from left to right, all
+        that don't overlap; where two bands show a place, the one with fewer edits. A long text is searched in stretches that
+        overlap by more than any region."""
+        plain = folded(text)
+        kept = stays(plain)
+        codes = plain[kept]
+        found: list[tuple[int, int, int, int]] = []
+        free: dict[int, int] = {}  # where the last region of a piece ends
+        for a in range(0, len(codes) - Q + 1 if len(self.keys) else 0, STRETCH):
+            part = codes[a : a + STRETCH + self.reach]
+            bands = self._crowded_bands(part)
+            listed = set(bands.tolist())
+            for k in bands.tolist():
+                p, w = k // SPAN, int(self.width[k // SPAN])
+                d = (k % SPAN - SPAN // 2) * w
+                start = free.get(p, 0) - a
+                if d + 2 * w < start:
+                    continue
+                hit = self._region(p, part, max(d, start), d + 2 * w)
+                if hit and hit[2] and k + 1 in listed:
+                    other = self._region(p, part, max(d + w, start), d + 3 * w)
+                    hit = other if other and other[2] < hit[2] else hit
+                if hit:
+                    found.append((p, a + hit[0], a + hit[1], hit[2]))
+                    free[p] = a + hit[1]
+                    if first_only:
+                        break
+            if first_only and found:
+                break
         where = np.flatnonzero(kept) if found else None
-        return [(self.items[p], int(where[a]), int(where[b - 1]) + 1, e) for p, (a, b, e) in found.items()]
+        return [(item, int(where[x]), int(where[y - 1]) + 1, e) for p, x, y, e in found for item in self.items[p]]
 
 
 def align(piece: np.ndarray, window: np.ndarray, d_low: int, d_high: int, budget: int) -> tuple[int, int, int] | None:
@@ -206,9 +245,11 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
     """(id, item_id, start, end, edits): where a piece of a passage occurs in a document within the edit budget.
 
     Case, punctuation and blanks don't count. A passage of up to PIECE characters is one piece; longer ones are
-    cut into overlapping pieces, so a copied part of PIECE + STEP characters is found too. Passages of under Q
+    cut into overlapping pieces, so a copied part of PIECE + STEP characters is found too. A piece of m characters
+    may differ by rate * m edits, and by m / Q - 1 at most (one less than a tenth for some passages under 32
+    characters). A place where a piece occurs is one region, every further place another. Passages of under Q
     characters are never matched; null and empty texts and passages match nothing; rows that repeat an id or a
-    passage are reported each for itself. Empty tables give no rows.
+    passage are reported each for itself; equal pieces within one passage once. Empty tables give no rows. Other columns are ignored.
 
     Passages are broadcast in blocks of bounded size, one pass over the documents for each block; documents are
     read whole and never shuffled.
@@ -250,7 +291,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = PassageIndex(shared.value, rate)
             for b in batches:
-                good = [not (t.is_valid and index.find(t.as_py())) for t in b.column(place)]
+                good = [not (t.is_valid and index.find(t.as_py(), first_only=True)) for t in b.column(place)]
                 yield b.filter(pa.array(good, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
