@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from grainsift.llm.common import shuffle_partitions, written
 
 HEAD = 24  # leading characters that take part in the order of contents
-MAX_RANGES = 2048
+MAX_RANGES = 1 << 15  # of about 100 bytes of splitter each, a literal of the plan; an external sort makes large ranges good
 SAMPLE_PER_RANGE = 24
 
 
@@ -27,13 +27,13 @@ def _order_key(text: Column, doc_id: Column) -> Column:
     return F.concat(F.substring(text, 1, HEAD), F.lit("\x00"), F.sha2(text, 256), F.coalesce(flipped, F.lit("")))
 
 
-def sampled_splitters(keys: DataFrame, n_ranges: int) -> list[str]:
-    """At most n_ranges - 1 increasing splitters of column key, from a sample of bounded size."""
-    rows = keys.count()
-    if rows == 0 or n_ranges < 2:
+def sampled_splitters(rows: DataFrame, key: Column, n_ranges: int) -> list[str]:
+    """At most n_ranges - 1 increasing splitters of a key, from a sample of bounded size; only sampled rows compute it."""
+    n = rows.count()
+    if n == 0 or n_ranges < 2:
         return []
     want = n_ranges * SAMPLE_PER_RANGE
-    got = sorted(r[0] for r in keys.sample(min(1.0, 1.1 * want / rows), seed=17).select("key").limit(2 * want).collect())
+    got = sorted(r[0] for r in rows.sample(min(1.0, 1.1 * want / n), seed=17).select(key).limit(2 * want).collect())
     return sorted({got[len(got) * i // n_ranges] for i in range(1, n_ranges)}) if got else []
 
 
@@ -62,8 +62,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text: Column | None
     spark = docs.sparkSession
     n_ranges = n_ranges or min(MAX_RANGES, 4 * shuffle_partitions(spark))
     content = F.coalesce(F.col("text") if text is None else text, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), content.alias("_text")).withColumn("key", _order_key(F.col("_text"), F.col("_id")))
-    splitters = sampled_splitters(rows.select("key"), n_ranges)
+    rows = docs.select(F.col(id_col).alias("_id"), content.alias("_text"))
+    key = _order_key(F.col("_text"), F.col("_id"))
+    splitters = sampled_splitters(rows, key, n_ranges)
+    rows = rows.withColumn("key", key)
     rows = rows.withColumn("range", range_of(F.col("key"), splitters).cast("int"))
 
     order = Window.partitionBy("range").orderBy("key")
