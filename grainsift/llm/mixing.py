@@ -32,6 +32,7 @@ MAX_SOURCES = 1 << 18  # (source, rows, bytes) on the driver
 BROADCAST_BLOCKS = 500_000  # of the schedule, some 30 MB; beyond, rows meet it by a shuffle
 BATCH = 50_000
 NULL_SOURCE = "\x00null"
+NEW_COLUMNS = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset", "mix_on_target")
 
 
 def shares(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int]:
@@ -117,7 +118,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
 
     Null sources form one source (NULL_SOURCE). Rows of a source without a weight get a null slot and false.
     A text counts its bytes and one more, so null and empty texts have a place too. Rows that repeat an id keep
-    their own places. Columns that start with mix_ are replaced. An empty table gives no rows.
+    their own places. Of the columns of docs only those named like the six new ones are replaced. An empty table gives no rows.
 
     A hot source is cut into chunks by hash, so no task holds a whole source: chunks are summed first, the few
     sums are accumulated, and places within a chunk are added.
@@ -125,12 +126,15 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     totals = source_totals(docs, source_col=source_col, text_col=text_col) if totals is None else totals
     share = shares(weights, cycle)
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    kept = [c for c in docs.columns if c.lower() not in NEW_COLUMNS]
+    own = [f"mix_column_{i}" for i in range(len(kept))]  # names under which they can't clash
+    by_name = {c.lower(): c for c in docs.columns}
     rows = docs.select(
-        *kept,
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, own, strict=True)],
+        F.col(f"`{by_name[id_col.lower()]}`").alias("mix_id"),
         F.coalesce(source_col, F.lit(NULL_SOURCE)).alias("mix_s"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("mix_n"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("mix_h"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("mix_h"),
         F.xxhash64(text_col).alias("mix_t"),
     )
     chunks = max(CHUNKS, 1 << (max((n for n, _ in totals.values()), default=1) // ROWS_PER_CHUNK).bit_length())
@@ -141,7 +145,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     before = Window.partitionBy("mix_s").orderBy("mix_c").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("mix_s", "mix_c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_base"))
 
-    inside = Window.partitionBy("mix_s", "mix_c").orderBy("mix_h", id_col, "mix_t").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("mix_s", "mix_c").orderBy("mix_h", "mix_id", "mix_t").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mix_in", F.coalesce(F.sum("mix_n").over(inside), F.lit(0))).join(sums, ["mix_s", "mix_c"])
     offset = F.col("mix_base") + F.col("mix_in")
     rows = rows.withColumn("mix_block", F.floor(offset / block).cast("long")).withColumn("mix_offset", offset - F.col("mix_block") * block)
@@ -155,7 +159,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     # A source runs out with its last whole block; the earliest such release ends the part that is on target.
     end = min((n // block * cycle // share[s] for s, (_, n) in totals.items() if s in share), default=0)
     return rows.select(
-        *kept,
+        *[F.col(n).alias(c) for c, n in zip(kept, own, strict=True)],
         "mix_block",
         "mix_slot",
         "mix_release",
