@@ -28,11 +28,13 @@ from grainsift.llm.components import components
 WORDS = 5
 ROWS, BANDS = 7, 48
 MINIMA = ROWS * BANDS
+LEAST_PERCENT = 80  # here the bands miss a link with 1.3e-5; below, more
 MARGIN = 0.08  # four standard errors of the estimate at a threshold of 0.85; wider below
 BLOCK = 2048  # nodes of a bucket that one task compares with as many others
 CELL_EDGES = 1_500
 BROADCAST_ROWS = 1_000_000  # of (cell, id): up to 16 MB of values meet the texts by broadcast, more by a shuffle
 _SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
+_WORDS = re.compile("[^\x20\x09-\x0d]+").finditer
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
 _RNG = np.random.default_rng(20240229)
@@ -42,10 +44,14 @@ _B = _RNG.integers(0, 1 << 32, MINIMA, np.uint64).astype(np.uint32)[:, None]
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text; of all its words if it has fewer; or nothing."""
-    found = _SPLIT((text or "").translate(_FOLD))
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORD.__getitem__, found), np.uint64, len(found))
+    folded = (text or "").translate(_FOLD)
+    if len(folded) <= 1 << 20:
+        found = _SPLIT(folded)
+        w = np.fromiter(map(_WORD.__getitem__, found), np.uint64, len(found))
+    else:  # without a list of all words
+        w = np.fromiter((_WORD[m.group()] for m in _WORDS(folded)), np.uint64)
+    if not len(w):
+        return w
     n = min(words, len(w))
     h = np.full(len(w) - n + 1, 0x9E3779B97F4A7C15 + n, np.uint64)
     for i in range(n):
@@ -174,8 +180,10 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
     component_id is the smallest id reachable over links and equal sets; kept marks the row whose id it is. Null
     and empty texts and texts of blanks have the empty set and stand alone. Rows that share an id are one
     document for linking. Rows with a null id are never linked: component_id null, kept true. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. The bands are laid out for LEAST_PERCENT and more.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {LEAST_PERCENT} and 100")
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
