@@ -21,6 +21,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import compress
 from operator import not_
@@ -41,6 +42,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 INDEX = struct.Struct("<9sQIQ")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+ROWS_PER_SHARD = 4_000_000  # 16 bytes a key and 10 bits of filter are held while a shard is written
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -71,8 +73,12 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest(key), xxhash.xxh3_64_intdigest(key, seed=1) | 1
+
+
 def _spots(key: bytes, bits: int, hashes: int) -> list[int]:
-    a, b = xxhash.xxh3_64_intdigest(key), xxhash.xxh3_64_intdigest(key, seed=1) | 1
+    a, b = _hashes(key)
     return [(a + i * b) % (1 << 64) % bits for i in range(hashes)]
 
 
@@ -82,7 +88,7 @@ class ShardWriter:
     def __init__(self, out, width: int = 2):
         self.out, self.width = out, width
         self.at = self.docs = self.tokens = self.before = 0
-        self.block, self.last, self.keys, self.index = bytearray(), b"", [], []
+        self.block, self.last, self.hashes, self.index = bytearray(), b"", array("Q"), []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: packed integers of the shard's width."""
@@ -93,7 +99,7 @@ class ShardWriter:
                 shared += 1
         self.block += _varint(shared) + _varint(9 - shared) + key[shared:] + _varint(count) + ids
         self.last = key
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
         self.docs += 1
         self.tokens += count
         if len(self.block) >= BLOCK_BYTES:
@@ -110,10 +116,10 @@ class ShardWriter:
     def close(self) -> None:
         if self.block:
             self._flush()
-        bits = max(64, len(self.keys) * BLOOM_BITS)
-        bloom = np.zeros(bits, bool)
-        for k in self.keys:
-            bloom[_spots(k, bits, BLOOM_HASHES)] = True
+        bits = max(64, self.docs * BLOOM_BITS)
+        bloom, pairs = np.zeros(bits, bool), np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        for i in range(BLOOM_HASHES):
+            bloom[((pairs[:, 0] + np.uint64(i) * pairs[:, 1]) % np.uint64(bits)).astype(np.int64)] = True
         packed, index = struct.pack("<Q", bits) + np.packbits(bloom).tobytes(), b"".join(self.index)
         self.out.write(packed + index)
         self.out.write(FOOTER.pack(self.at, len(packed), self.at + len(packed), len(index), self.docs, self.tokens, self.width, BLOOM_HASHES, MAGIC))
@@ -203,8 +209,8 @@ class PieceEncoder:
     be cut before such blanks and each distinct piece encoded once. Other texts and tokenizers are encoded whole.
     """
 
-    def __init__(self, name: str, width: int):
-        self.library, self.dtype = _tokenizer(name), f"<u{width}"
+    def __init__(self, name: str, width: int, pieces: int = MEMO_PIECES, texts: int = MEMO_TEXTS):
+        self.library, self.dtype, self.most_pieces, self.most_texts = _tokenizer(name), f"<u{width}", pieces, texts
         spec = json.loads(self.library.to_str())
         blank = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
         self.cuts = not blank and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -240,9 +246,9 @@ class PieceEncoder:
         new = {d: t for d, t in zip(digests, texts, strict=True) if d not in self.texts}
         got = dict(zip(new, self._encode_distinct(list(new.values())), strict=True))
         out = [got[d] if d in got else self.texts[d] for d in digests]
-        if len(self.texts) + len(got) > MEMO_TEXTS:
+        if len(self.texts) + len(got) > self.most_texts:
             self.texts = {}
-        if len(got) <= MEMO_TEXTS:
+        if len(got) <= self.most_texts:
             self.texts.update((d, ids) for d, ids in got.items() if len(ids) <= 1 << 13)
         return out
 
@@ -250,7 +256,7 @@ class PieceEncoder:
         """Pieces are looked up as each text is split; the new ones of all texts are then encoded together and filled in."""
         done: list[tuple[bytes, list, list]] = []
         new: dict[str, bytes] = {}
-        if len(self.pieces) > MEMO_PIECES:  # start anew with the pieces that these texts use
+        if len(self.pieces) > self.most_pieces:  # start anew with the pieces that these texts use
             used = set().union(*[t.split(" ") for t in texts])
             self.pieces = {w: ids for w in used if (ids := self.pieces.get(w)) is not None}
         look = self.pieces.get
@@ -271,19 +277,22 @@ class PieceEncoder:
         return [head + b"".join(parts) for head, parts, _ in done]
 
 
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+_ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(name: str, width: int) -> PieceEncoder:
+def _encoder(*kind) -> PieceEncoder:
     """One encoder for each worker process, so that what it remembers serves all its tasks."""
-    if (name, width) not in _ENCODERS:
-        _ENCODERS[name, width] = PieceEncoder(name, width)
-    return _ENCODERS[name, width]
+    if kind not in _ENCODERS:
+        _ENCODERS[kind] = PieceEncoder(*kind)
+    return _ENCODERS[kind]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, order_col: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, order_col: str | None = None, pieces: int = MEMO_PIECES, texts: int = MEMO_TEXTS) -> DataFrame:
     """Encode docs and write one shard per range of identifiers into folder; returns the manifest.
 
+    There are as many shards as shuffle partitions, and so many that one holds about ROWS_PER_SHARD rows at most. A worker
+    remembers the ids of up to `pieces` pieces and `texts` short texts.
+
     Manifest, one row per shard: shard (in key order), path, docs, tokens. A task writes to a name of its own and renames
     it when complete, and the manifest only lists complete files, so retried or doubled tasks do no harm.
     Null ids sort first; rows that repeat an id are all kept, ordered by their text. A null text is empty and
@@ -292,7 +301,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     """
     spark = docs.sparkSession
     bounded_batches(spark, rows=5000)
-    n_shards = n_shards or shuffle_partitions(spark)
+    n_shards = n_shards or max(shuffle_partitions(spark), -(-docs.count() // ROWS_PER_SHARD))
     width = 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
     root = folder.rstrip("/")
     fs, path = _file_system(root)
@@ -308,7 +317,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
             if not b.num_rows:
                 continue
             if writer is None:
-                encoder, end = _encoder(tokenizer, width), end_id.to_bytes(width, "little")
+                encoder, end = _encoder(tokenizer, width, pieces, texts), end_id.to_bytes(width, "little")
                 store, base = _file_system(root)
                 shard = b.column(2)[0].as_py()
                 temp, name = f"{base}/.{shard:06d}-{uuid.uuid4().hex}", f"shard-{shard:06d}.sst"
