@@ -230,26 +230,16 @@ def a25_yes_share(spark, sf):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("yes"), F.avg("quality").alias("mean"))
 
 
-@query("a26_citation_relevance", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+')) AS ws, doc_id % 40 AS item_id FROM documents),
-b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark),
-j AS (SELECT b.item_id, len(list_intersect(ws, bs)) / len(list_distinct(list_concat(ws, bs))) AS s FROM w JOIN b ON w.item_id = b.item_id)
-SELECT item_id, count(*) AS n, avg(s) AS mean_jaccard, count(*) FILTER (s < 0.1) AS weak FROM j GROUP BY item_id""")
-def a26_citation_relevance(spark, sf):
-    words = lambda c: F.array_distinct(X.tokens(c))
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("item_id"), words(F.left("text", F.lit(300))).alias("ws"))
-    b = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("bs"))
-    s = F.size(F.array_intersect("ws", "bs")) / F.size(F.array_union("ws", "bs"))
-    return d.join(b, "item_id").select("item_id", s.alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean_jaccard"), F.count_if(F.col("s") < 0.1).alias("weak"))
-
-
 def item_count(benchmark) -> int:
     """Item ids run from 0, so documents are dealt to items by doc_id modulo this."""
     return (benchmark.agg(F.max("item_id")).first()[0] or 0) + 1
 
 
-@query("a26_citation_relevance_whole")
-def a26_citation_relevance_whole(spark, sf):
-    """a26_citation_relevance over whole texts and all benchmark items."""
+@query("a26_citation_relevance", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS item_id FROM documents),
+b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS bs FROM benchmark),
+j AS (SELECT b.item_id, len(list_intersect(ws, bs)) / len(list_distinct(list_concat(ws, bs))) AS s FROM w JOIN b ON w.item_id = b.item_id)
+SELECT item_id, count(*) AS n, avg(s) AS mean_jaccard, count(*) FILTER (s < 0.1) AS weak FROM j GROUP BY item_id""")
+def a26_citation_relevance(spark, sf):
     words = lambda c: F.array_distinct(X.tokens(c))
     b = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("bs"))
     d = table(spark, sf, "documents").select((F.col("doc_id") % item_count(b)).alias("item_id"), words(F.col("text")).alias("ws"))
@@ -257,6 +247,7 @@ def a26_citation_relevance_whole(spark, sf):
     return d.join(b, "item_id").select("item_id", s.alias("s")).groupBy("item_id").agg(F.count("*").alias("n"), F.avg("s").alias("mean_jaccard"), F.count_if(F.col("s") < 0.1).alias("weak"))
 
 
+
 @query("a27_validity_gate", f"SELECT count(*) AS total, count(DISTINCT o_custkey) AS unique_ids, count(*) FILTER (supports = 'error') AS invalid, CASE WHEN count(*) FILTER (supports = 'error') / count(*) < 0.05 AND count(*) FILTER (supports = 'yes') / count(*) > 0.9 THEN 'PASS' ELSE 'FAIL' END AS gate FROM ({SUPPORTS})")
 def a27_validity_gate(spark, sf):
     bad, good = F.count_if(F.col("supports") == "error"), F.count_if(F.col("supports") == "yes")
@@ -264,15 +255,25 @@ def a27_validity_gate(spark, sf):
     return supports(spark, sf).agg(F.count("*").alias("total"), F.count_distinct("o_custkey").alias("unique_ids"), bad.alias("invalid"), gate.alias("gate"))
 
 
-@query("a28_completeness_histogram", "SELECT CASE WHEN l_discount < 0.025 THEN 'low' WHEN l_discount < 0.05 THEN 'mid' WHEN l_discount < 0.075 THEN 'high' ELSE 'full' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+@query("a28_completeness_histogram", """WITH d AS (SELECT (length(text) >= 200)::INT * 2 + (left(text, 100) <> '' AND length(text) >= 100)::INT + (n_chars % 5 >= 2)::INT + (n_chars % 2 >= 1)::INT + ((n_chars % 13) / 10.0 BETWEEN 0 AND 1)::INT AS met FROM documents)
+SELECT CASE WHEN met = 6 THEN 'full' WHEN met >= 4 THEN 'high' WHEN met >= 2 THEN 'mid' ELSE 'low' END AS bucket, count(*) AS n FROM d GROUP BY 1""")
 def a28_completeness_histogram(spark, sf):
-    d = F.col("l_discount")
-    return table(spark, sf, "lineitem").groupBy(F.when(d < 0.025, "low").when(d < 0.05, "mid").when(d < 0.075, "high").otherwise("full").alias("bucket")).agg(F.count("*").alias("n"))
+    """Criteria of F8 that documents meet, in four buckets."""
+    n, t = F.col("n_chars"), F.col("text")
+    met = 6 - F.size(R.completeness_failures(t, t, t, n % 5, n % 2, (n % 13) / 10.0))
+    d = table(spark, sf, "documents").select(met.alias("met"))
+    return d.groupBy(F.when(F.col("met") == 6, "full").when(F.col("met") >= 4, "high").when(F.col("met") >= 2, "mid").otherwise("low").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("a29_choice_accuracy", "SELECT event_type, count(*) AS n, count(*) FILTER (user_id % 4 = event_id % 4) AS correct, count(*) FILTER (event_id % 9 = 0) AS unparsed FROM events GROUP BY event_type")
+@query("a29_choice_accuracy", """WITH l AS (SELECT event_type, substr('ABCD', CAST(event_id % 4 AS INT) + 1, 1) AS gold, CASE event_id % 3 WHEN 0 THEN substr('ABCD', CAST(user_id % 4 AS INT) + 1, 1) WHEN 1 THEN 'B' END AS said FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (said = gold) AS correct, count(*) FILTER (said IS NULL) AS unparsed FROM l GROUP BY event_type""")
 def a29_choice_accuracy(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 4 == F.col("event_id") % 4).alias("correct"), F.count_if(F.col("event_id") % 9 == 0).alias("unparsed"))
+    """Letters read out of three forms of answers, against the gold letter."""
+    letter = lambda c: F.element_at(F.lit(list("ABCD")), (c % 4 + 1).cast("int"))
+    kind = F.col("event_id") % 3
+    said = F.when(kind == 0, F.concat(F.lit("Answer: E first. Then Answer: ("), letter(F.col("user_id")), F.lit(")"))).when(kind == 1, "Maybe C, or B. Not E").otherwise("none of these")
+    e = table(spark, sf, "events").select("event_type", letter(F.col("event_id")).alias("gold"), X.choice_letter(said, F.lit(4)).alias("said"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("gold")).alias("correct"), F.count_if(F.col("said").isNull()).alias("unparsed"))
 
 
 @query("a30_source_concentration", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n DESC, o_custkey) AS rn FROM c) SELECT CAST(sum(n) FILTER (rn <= 50) AS BIGINT) AS top_n, CAST(sum(n) AS BIGINT) AS all_n FROM r")
@@ -298,9 +299,13 @@ def a33_leniency(spark, sf):
     return supports(spark, sf).groupBy("o_orderpriority").agg(F.count_if(v.isin("yes", "partial")).alias("lenient"), F.count_if(v == "yes").alias("strict"), F.count_if(v == "partial").alias("bought"))
 
 
-@query("a34_citations_per_answer", "SELECT n_lines, count(*) AS answers FROM (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) GROUP BY 1")
+@query("a34_citations_per_answer", "SELECT 1 + event_id % 3 AS n_cited, count(*) AS answers FROM events GROUP BY 1")
 def a34_citations_per_answer(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines")).groupBy("n_lines").agg(F.count("*").alias("answers"))
+    """Distinct citations read out of answers that name one to three trials, some twice."""
+    ident = lambda k: F.concat(F.lit("NCT"), F.lpad((F.col("event_id") * 3 + k).cast("string"), 8, "0"))
+    said = F.concat(F.lit("As "), ident(0), F.lit(" and again "), ident(0), F.lit(" show. "), F.when(F.col("event_id") % 3 > 0, ident(1)).otherwise(""), F.lit(" "), F.when(F.col("event_id") % 3 > 1, ident(2)).otherwise(""))
+    rows = C.citations(table(spark, sf, "events").select("event_id", said.alias("a")), ["event_id"], "a").groupBy("event_id").agg(F.count("*").alias("n_cited"))
+    return rows.groupBy("n_cited").agg(F.count("*").alias("answers"))
 
 
 @query("a36_expectations", "SELECT 'unique_ids' AS name, count(*) = count(DISTINCT doc_id) AS ok FROM documents UNION ALL SELECT 'few_langs', count(DISTINCT lang) <= 3 FROM documents UNION ALL SELECT 'filled', count(text) / count(*) > 0.95 FROM documents")
@@ -328,18 +333,12 @@ def j3_star(spark, sf):
     return o.join(lines, "o_orderkey", "left").join(c, "o_custkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("n").alias("lines"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
-@query("j4_join_on_normal_text", r"WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.key = b.key AND a.doc_id < b.doc_id AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1")
+@query("j4_join_on_normal_text", r"WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key FROM documents) SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY key)")
 def j4_join_on_normal_text(spark, sf):
+    """Each document with the class of its normal text: copies are members of a class, not pairs."""
     k = table(spark, sf, "documents").select("doc_id", F.md5(X.normal_key(F.col("text"))).alias("key"))
-    a, b = k.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a"), k.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "b")
-    return a.join(b, "key").where("a < b").select("a", "b")
-
+    return k.join(k.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "key").select("doc_id", "class_id", "n")
 
-@query("j4_join_on_normal_text_whole")
-def j4_join_on_normal_text_whole(spark, sf):
-    """j4_join_on_normal_text over all pairs of ids."""
-    k = table(spark, sf, "documents").select("doc_id", F.md5(X.normal_key(F.col("text"))).alias("key"))
-    return k.withColumnRenamed("doc_id", "a").join(k.withColumnRenamed("doc_id", "b"), "key").where("a < b").select("a", "b")
 
 
 @query("j5_fallback_key", "SELECT d.doc_id, coalesce(l1.quality, l2.quality) AS quality FROM documents d LEFT JOIN labels l1 ON d.doc_id = l1.doc_id LEFT JOIN labels l2 ON d.doc_id // 2 = l2.doc_id")
@@ -486,20 +485,14 @@ def t11_roster_overlap(spark, sf):
     return J.set_overlap(core("click", "view"), core("view", "error"), "task")
 
 
-@query("t12_similarity_summary", """WITH j AS (SELECT len(list_intersect(regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+'), regexp_extract_all(lower(right(text, 200)), '[a-z0-9]+'))) AS s FROM documents) SELECT avg(s) AS mean, median(s) AS median, max(s)::BIGINT AS top FROM j""")
+@query("t12_similarity_summary", """WITH j AS (SELECT len(list_intersect(regexp_extract_all(lower(left(text, length(text) // 2)), '[a-z0-9]+'), regexp_extract_all(lower(right(text, length(text) - length(text) // 2)), '[a-z0-9]+'))) AS s FROM documents) SELECT avg(s) AS mean, median(s) AS median, max(s)::BIGINT AS top FROM j""")
 def t12_similarity_summary(spark, sf):
-    s = F.size(F.array_intersect(X.tokens(F.left("text", F.lit(200))), X.tokens(F.right("text", F.lit(200))))).cast("long")
-    return table(spark, sf, "documents").select(s.alias("s")).agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.max("s").alias("top"))
-
-
-@query("t12_similarity_summary_whole")
-def t12_similarity_summary_whole(spark, sf):
-    """t12_similarity_summary between the two halves of whole texts."""
     half = F.expr("length(text) div 2").cast("int")
     s = F.size(F.array_intersect(X.tokens(F.left("text", half)), X.tokens(F.right("text", F.length("text") - half)))).cast("long")
     return table(spark, sf, "documents").select(s.alias("s")).agg(F.avg("s").alias("mean"), F.median("s").alias("median"), F.max("s").alias("top"))
 
 
+
 @query("t13_logprob_delta", "SELECT avg(value) FILTER (user_id % 2 = 0) - avg(value) FILTER (user_id % 2 = 1) AS delta, median(value) FILTER (user_id % 2 = 0) AS core_median, median(value) FILTER (user_id % 2 = 1) AS reference_median FROM events")
 def t13_logprob_delta(spark, sf):
     side = lambda k: F.when(F.col("user_id") % 2 == k, F.col("value"))
@@ -618,10 +611,9 @@ def d10_set_overlap(spark, sf):
     return J.set_overlap(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("d11_difference", "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+@query("d11_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
 def d11_difference(spark, sf):
-    e = table(spark, sf, "events")
-    return e.where("event_type = 'click'").select("user_id").subtract(e.where("event_type = 'error'").select("user_id"))
+    return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").where("quality = 1").select("doc_id"))
 
 
 @query("d12_distinct_counts", "SELECT count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, count(DISTINCT md5(text)) AS texts FROM documents")
@@ -672,23 +664,46 @@ def m1_token_jaccard(spark, sf):
     return both.where("s / (nd + nb - s) >= 0.3").select("doc_id", "item_id")
 
 
-@query("m2_longest_common_run")
+RUNS = """b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM benchmark),
+p AS (SELECT doc_id, b.item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS s, b FROM documents JOIN b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
+i AS (SELECT *, unnest(range(0, len(b) + 1)) AS i FROM p), j AS (SELECT *, unnest(range(i, len(b) + 1)) AS j FROM i),
+r AS (SELECT doc_id, item_id, any_value(len(b)) AS n, max(j - i) FILTER (i = j OR contains(s, ' ' || array_to_string(b[i + 1 : j], ' ') || ' '))::INT AS run FROM j GROUP BY doc_id, item_id)
+"""  # every run of an item, sought in the text; tokens hold no blanks
+
+
+@query("m2_longest_common_run", f"WITH {RUNS} SELECT doc_id, item_id, run FROM r")
 def m2_longest_common_run(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", X.tokens(F.col("text")).alias("b"))
     d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % item_count(b)).alias("item_id"), X.tokens(F.col("text")).alias("a"))
     return D.longest_common_runs(d.join(b, "item_id"), "a", "b").select("doc_id", "item_id", "run")
 
 
-@query("m3_run_shares", "SELECT count(*) AS n, count(*) FILTER (length(text) <= 400) AS short, count(*) FILTER (2 * length(text) >= n_chars) AS half FROM documents")
+@query("m3_run_shares", f"WITH {RUNS} SELECT count(*) AS n, count(*) FILTER (run <= 5) AS short, count(*) FILTER (2 * run >= n) AS half FROM r")
 def m3_run_shares(spark, sf):
-    n = F.length("text")
-    return table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_if(n <= 400).alias("short"), F.count_if(2 * n >= F.col("n_chars")).alias("half"))
+    """Shares of documents whose longest run in common with their benchmark item is up to five words, or half the item."""
+    b = table(spark, sf, "benchmark").select("item_id", X.tokens(F.col("text")).alias("b"))
+    d = table(spark, sf, "documents").select((F.col("doc_id") % item_count(b)).alias("item_id"), X.tokens(F.col("text")).alias("a"))
+    r = D.longest_common_runs(d.join(b, "item_id"), "a", "b").select("run", F.size("b").alias("n"))
+    return r.agg(F.count("*").alias("n"), F.count_if(F.col("run") <= 5).alias("short"), F.count_if(2 * F.col("run") >= F.col("n")).alias("half"))
+
+
+MENTIONS = "\n".join(
+    rf"""m{k} AS (SELECT *, '{kind}' AS id_type, {k} AS kind, regexp_extract_all(s, '{pattern}', 1) AS ids, regexp_extract_all(s, '{pattern}', 0) AS found, string_split_regex(s, '{pattern}') AS parts FROM a),"""
+    for k, (kind, pattern) in enumerate(C.KINDS)
+)
 
 
-@query("x5_citation_claims")
+@query("x5_citation_claims", rf"""WITH a AS (SELECT conv_id, turn, text || ' PMID: ' || (conv_id + 10000) || '. Then NCT00000001 too. ' || text AS s FROM conversations WHERE role = 'assistant'),
+{MENTIONS}
+m AS (SELECT *, unnest(range(len(ids))) AS i FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1)),
+p AS (SELECT *, length(array_to_string(parts[1 : i + 1], '')) + length(array_to_string(found[1 : i], '')) AS b, length(found[i + 1]) AS n FROM m WHERE list_position(ids, ids[i + 1]) = i + 1),
+w AS (SELECT *, regexp_extract(substring(s, 1, b), '[^.!?]*$', 0) AS opening, regexp_extract(substring(s, b + 1), '^[^.!?]*[.!?]', 0) AS ending, regexp_replace(substring(s, greatest(0, b - 360) + 1, b + n - greatest(0, b - 360)), '^\s+|\s+$', '', 'g') AS part FROM p),
+c AS (SELECT *, CASE WHEN ending <> '' THEN regexp_replace(opening || ending, '^\s+|\s+$', '', 'g') END AS own, regexp_replace(array_to_string(regexp_extract_all(part, '[^.!?]*[.!?]')[-3:], ''), '^\s+|\s+$', '', 'g') AS tail FROM w),
+f AS (SELECT *, own IS NULL OR len(list_filter(regexp_split_to_array(regexp_replace(trim(own), '[^a-zA-Z ]', ' ', 'g'), '\s+'), lambda w: w <> '')) < 6 OR regexp_matches(trim(own), '(?i)^[\s,.;:\)\(*#\]]*((19|20)\d\d|PMID|NCT|et al|doi|Source)') AS weak FROM c)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY kind, i) - 1)::INT AS place, id_type, ids[i + 1] AS id, CASE WHEN weak THEN right(CASE WHEN tail <> '' THEN tail ELSE part END, 400) ELSE left(own, 400) END AS claim FROM f""")
 def x5_citation_claims(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    noted = F.concat(F.substring("text", 1, 200), F.lit(" PMID: "), (F.col("conv_id") + 10000).cast("string"), F.lit(". Then NCT00000001 too. "), F.col("text"))
+    noted = F.concat("text", F.lit(" PMID: "), (F.col("conv_id") + 10000).cast("string"), F.lit(". Then NCT00000001 too. "), F.col("text"))
     return C.citations(c.withColumn("answer", noted), ["conv_id", "turn"], "answer")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from grainsift.plans.registry import query
 from grainsift.session import table
@@ -22,18 +21,17 @@ SELECT reason, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chars FROM c GROU
 )
 def curation_funnel(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("key", F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")))
-    rn = F.row_number().over(Window.partitionBy(F.md5("key")).orderBy("doc_id"))
+    key = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")))
     reason = (
-        F.when(F.col("rn") > 1, "duplicate")
-        .when(F.length("text") < 100, "too_short")
+        F.when(F.length("text") < 100, "too_short")
         .when(F.col("text").rlike(r"^\p{Ll}"), "lowercase_start")
         .when(F.contains("text", F.lit("@")), "contact")
         .otherwise("kept")
     )
-    return (
-        docs.withColumn("rn", rn)
-        .select(reason.alias("reason"), F.length("text").alias("n"))
-        .groupBy("reason")
-        .agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_chars"))
-    )
+    # One narrow row for each key, combined before the shuffle: its first document is judged, all others are duplicates.
+    rows = docs.select(key.alias("key"), "doc_id", reason.alias("reason"), F.length("text").cast("long").alias("n"))
+    keys = rows.groupBy("key").agg(F.min(F.struct("doc_id", "reason", "n")).alias("first"), F.count("*").alias("docs"), F.sum("n").alias("chars"))
+    judged = F.struct(F.col("first.reason").alias("reason"), F.lit(1).cast("long").alias("docs"), F.col("first.n").alias("chars"))
+    rest = F.struct(F.lit("duplicate").alias("reason"), (F.col("docs") - 1).alias("docs"), (F.col("chars") - F.col("first.n")).alias("chars"))
+    parts = keys.select(F.inline(F.array(judged, rest))).where("docs > 0")
+    return parts.groupBy("reason").agg(F.sum("docs").alias("n_docs"), F.sum("chars").alias("n_chars"))

@@ -10,6 +10,7 @@ from grainsift.operators import citations as CI
 from grainsift.operators import plugs as P
 from grainsift.operators import rules as R
 from grainsift.operators import tables as J
+from grainsift.operators import tools as TO
 from grainsift.operators.dag import Pipeline, Stage
 from grainsift.plans.io_q import event_stream
 from grainsift.plans.registry import query
@@ -61,6 +62,65 @@ def s15c_clinical_trials(spark, sf):
     return C.clinical_trials(page).select("source_id", "title", F.col("metadata")["status"].alias("status"))
 
 
+@query("s15b_preprints", """SELECT server AS source, '10.1/' || doc_id AS source_id, 'https://doi.org/10.1/' || doc_id AS url FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY page, doc_id) AS rn
+ FROM (SELECT doc_id, 'server' || doc_id % 2 AS server, doc_id // 100 AS page, title FROM (SELECT doc_id, lang || CASE WHEN doc_id % 3 = 0 THEN ' an Unmet Need' ELSE '' END AS title FROM documents)) WHERE contains(lower(title), 'unmet need')) WHERE rn <= 20""")
+def s15b_preprints(spark, sf):
+    """Pages of two servers, a hundred ids each; every third article marks an open question; 40 are wanted in all."""
+    title = F.concat("lang", F.when(F.col("doc_id") % 3 == 0, " an Unmet Need").otherwise(""))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("server"), (F.col("doc_id") % 2).cast("string")).alias("server"), F.expr("doc_id div 100").alias("page"), title.alias("title"))
+    article = F.struct("doc_id", F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), "title", F.lit("an abstract").alias("abstract"))
+    pages = d.groupBy("server", "page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(article)).alias("collection"))).alias("json"))
+    return C.preprints(pages, 40).select("source", "source_id", "url")
+
+
+@query("s15e_target_diseases", """SELECT 'EFO_' || n_nationkey AS source_id, n_name || ' Known drugs: ' || CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey ELSE 0 END || ', unique targets: 0, therapeutic areas: ' || CASE WHEN n_nationkey % 2 = 0 THEN 'area ' || n_regionkey ELSE '' END || '.' AS abstract FROM nation""")
+def s15e_target_diseases(spark, sf):
+    even, area = F.col("n_nationkey") % 2 == 0, F.struct(F.concat(F.lit("area "), F.col("n_regionkey").cast("string")).alias("name"))
+    disease = F.struct("n_name", F.col("n_name").alias("description"), F.when(even, F.struct(F.col("n_regionkey").alias("count"))).alias("knownDrugs"), F.when(even, F.array(area)).alias("therapeuticAreas"))
+    page = table(spark, sf, "nation").select(F.concat(F.lit("EFO_"), F.col("n_nationkey").cast("string")).alias("efo_id"), F.to_json(F.struct(F.struct(disease.alias("disease")).alias("data"))).alias("json"))
+    return C.target_diseases(page).select("source_id", "abstract")
+
+
+@query("s15g_proteins", """SELECT '' || s_suppkey AS source_id, 'UniProt: ' || s_name || ' (G' || s_nationkey || ')' AS title, 'Protein: ' || s_name || '. Genes: G' || s_nationkey || '. Function: ' || left(repeat(s_name, 60), 500) || '. Associated diseases: '
+ || array_to_string(list_transform(range(least(5, s_suppkey % 7 + 1)), lambda i: 'D' || i || ': ' || s_name), '; ') || '.' AS abstract FROM supplier""")
+def s15g_proteins(spark, sf):
+    """Entries with comments of three types, functions of over 500 characters, one to seven diseases."""
+    value = lambda c: F.struct(c.alias("value"))
+    text = F.array(value(F.repeat("s_name", 60)))
+    none, no_texts = F.lit(None).cast("struct<diseaseId:string,description:string>"), F.lit(None).cast("array<struct<value:string>>")
+    comment = lambda kind, texts, disease: F.struct(F.lit(kind).alias("commentType"), texts.alias("texts"), disease.alias("disease"))
+    disease = F.transform(F.sequence(F.lit(0), (F.col("s_suppkey") % 7).cast("int")), lambda i: comment("DISEASE", no_texts, F.struct(F.concat(F.lit("D"), i.cast("string")).alias("diseaseId"), F.col("s_name").alias("description"))))
+    comments = F.concat(F.array(comment("CAUTION", F.array(value(F.lit("x"))), none), comment("FUNCTION", text, none)), disease)
+    entry = F.struct(
+        F.col("s_suppkey").cast("string").alias("primaryAccession"), F.struct(F.struct(value(F.col("s_name")).alias("fullName")).alias("recommendedName")).alias("proteinDescription"),
+        F.array(F.struct(value(F.concat(F.lit("G"), F.col("s_nationkey").cast("string"))).alias("geneName"))).alias("genes"), comments.alias("comments"),
+    )
+    return C.proteins(table(spark, sf, "supplier").select(F.to_json(F.struct(F.array(entry).alias("results"))).alias("json"))).select("source_id", "title", "abstract")
+
+
+@query("s15h_compounds", """SELECT CAST(p_partkey * 10 + i AS VARCHAR) AS source_id, 'PubChem: ' || CASE WHEN i % 2 = 0 THEN p_name ELSE 'CID:' || (p_partkey * 10 + i) END AS title, CASE WHEN i % 2 = 0 THEN left(repeat(p_type, 200), 2000) ELSE '' END AS abstract FROM part, range(5) r(i)""")
+def s15h_compounds(spark, sf):
+    """Searches that find seven ids, of which five count; details of every second."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).withColumn("cid", F.col("p_partkey") * 10 + F.col("i"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("i", "cid"))), lambda x: x["cid"])
+    searches = p.groupBy("p_partkey", F.col("p_name").alias("query")).agg(F.to_json(F.struct(F.struct(ids.alias("CID")).alias("IdentifierList"))).alias("json"))
+    info = F.struct(F.col("p_name").alias("Title"), F.repeat("p_type", 200).alias("Description"))
+    details = p.where("i % 2 = 0").select("cid", F.to_json(F.struct(F.struct(F.array(info).alias("Information")).alias("InformationList"))).alias("json"))
+    return C.compounds(searches, details).select("source_id", "title", "abstract")
+
+
+@query("plug_tool_results", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{"pmid":"' || user_id || '","title":"' || event_type || '","abstract":""}]' WHEN 1 THEN '[{"id":"a","description":"' || user_id || '"},{"raw":"no tab"}]'
+ WHEN 2 THEN '{"n":' || user_id || '}' ELSE '{"error":"Unknown tool: teleport"}' END AS result FROM events""")
+def plug_tool_results(spark, sf):
+    """Calls of a search, a line service, a query service and an unknown tool."""
+    pick = lambda *c: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in c]), (F.col("event_id") % 4 + 1).cast("int"))
+    user = F.col("user_id").cast("string")
+    found = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("").alias("pmid"), user.alias("id"), F.col("event_type").alias("title"))).alias("result")).alias("resultList")))
+    payload = pick(found, F.concat(F.lit("a\t"), user, F.lit("\tmore\nno tab\n")), F.concat(F.lit('{"data":{"n":'), user, F.lit("}}")), "{}")
+    calls = table(spark, sf, "events").select("event_id", pick("pubmed", "kegg", "opentargets", "teleport").alias("tool"), pick("", "find", "", "").alias("operation"), payload.alias("payload"))
+    return TO.tool_results(calls).select("event_id", "result")
+
+
 @query("s15i_genes", "SELECT '' || s_suppkey AS source_id, 'Gene ' || s_name || ' (' || s_name || '): d' AS abstract FROM supplier")
 def s15i_genes(spark, sf):
     gene = F.struct(F.struct(F.col("s_suppkey").cast("string").alias("gene_id"), F.col("s_name").alias("symbol"), F.col("s_name").alias("full_name"), F.lit("d").alias("description")).alias("gene"))
@@ -108,52 +168,41 @@ def t4_binary_kappa(spark, sf):
     return T.kappa(d, "a", "b").select("n", "kappa")
 
 
-@query("k9_frozen_ids", "SELECT count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE lang = 'fr'")
+@query("k9_frozen_ids", "SELECT doc_id FROM documents WHERE lang = 'fr'")
 def k9_frozen_ids(spark, sf):
     path = IO.scratch(spark, "frozen")
     IO.write_jsonl(table(spark, sf, "documents").where("lang = 'fr'").select("doc_id").sort("doc_id"), path)
-    return IO.read_jsonl(spark, path, "doc_id long").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    return IO.read_jsonl(spark, path, "doc_id long")
 
 
-@query("k2_idempotent_append", "SELECT count(*) AS n FROM documents")
+@query("k2_idempotent_append", "SELECT doc_id, lang FROM documents")
 def k2_idempotent_append(spark, sf):
     path = IO.scratch(spark, "append")
     d = table(spark, sf, "documents").select("doc_id", "lang")
     IO.write_jsonl(d.where("doc_id % 2 = 0"), path, append_new_by="doc_id")
     IO.write_jsonl(d, path, append_new_by="doc_id")  # the repeated half is not written again
-    return spark.read.schema("doc_id long").json(path).agg(F.count("*").alias("n"))
+    return spark.read.schema("doc_id long, lang string").json(path)
 
 
-@query("l2_sorted_export", "SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderkey % 50 = 0 ORDER BY o_orderpriority, o_orderkey")
+@query("l2_sorted_export", "SELECT o_orderpriority, o_orderkey FROM orders ORDER BY o_orderpriority, o_orderkey")
 def l2_sorted_export(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey % 50 = 0").select("o_orderpriority", "o_orderkey").sort("o_orderpriority", "o_orderkey")
-
-
-@query("l2_sorted_export_whole")
-def l2_sorted_export_whole(spark, sf):
-    """l2_sorted_export of all orders."""
     return table(spark, sf, "orders").select("o_orderpriority", "o_orderkey").sort("o_orderpriority", "o_orderkey")
 
 
+
 @query("x8_judge_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def x8_judge_json(spark, sf):
     answer = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
     return table(spark, sf, "events").select("event_id", F.get_json_object(P.judged_json(answer), "$.k").cast("long").alias("k"))
 
 
-@query("x20_prompt_block", "SELECT conv_id, string_agg(role || ': ' || left(text, 20), chr(10) ORDER BY turn) AS prompt FROM conversations WHERE turn < 3 GROUP BY conv_id")
+@query("x20_prompt_block", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def x20_prompt_block(spark, sf):
-    c = table(spark, sf, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
-    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), F.left(x["text"], F.lit(20)))), "\n").alias("prompt"))
-
-
-@query("x20_prompt_block_whole")
-def x20_prompt_block_whole(spark, sf):
-    """x20_prompt_block of all turns and whole texts."""
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
     return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
 
 
+
 @query("m6_hashed_embedding")
 def m6_hashed_embedding(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", P.hashed_embedding(F.col("text"), 16).alias("v"))
@@ -197,11 +246,14 @@ def a35_drop_waterfall(spark, sf):
     return R.with_reason_counts(table(spark, sf, "documents"), reason)
 
 
-@query("a21_corrected_mode", "SELECT event_id, 0 AS loose FROM events")
+@query("a21_corrected_mode", "SELECT event_id, (event_id % 3 = 1)::INT AS loose, (event_id % 3 > 0)::INT AS published FROM events")
 def a21_corrected_mode(spark, sf):
+    """Cited ids that a result shows plainly, in JSON form or not at all: only the corrected mode reads the JSON form."""
     ident = (F.col("user_id") + 10000).cast("string")
-    seen = F.concat(F.lit('{"pmid": "'), ident, F.lit('"}'))
-    return table(spark, sf, "events").select("event_id", F.size(CI.ungrounded(F.concat(F.lit("PMID:"), ident), seen, mode="corrected")).alias("loose"))
+    kind = F.col("event_id") % 3
+    seen = F.when(kind == 0, F.concat(F.lit("PMID:"), ident)).when(kind == 1, "nothing").otherwise(F.concat(F.lit('{"pmid": "'), ident, F.lit('"}')))
+    said = F.concat(F.lit("PMID:"), ident)
+    return table(spark, sf, "events").select("event_id", F.size(CI.ungrounded(said, seen, mode="corrected")).alias("loose"), F.size(CI.ungrounded(said, seen)).alias("published"))
 
 
 @query("x2_alpha_set", r"SELECT item_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: regexp_matches(w, '^\p{L}+$')))) AS n FROM benchmark")

@@ -53,13 +53,13 @@ def r1_resumed_crawl(spark, sf):
     return C.read_pages(spark, "grainsift.plans.rest_q.stored_pages", names, done=done).groupBy("query").agg(F.count("*").alias("pages"))
 
 
-@query("k1_overwrite", "SELECT count(*) AS n FROM documents WHERE lang = 'de'")
+@query("k1_overwrite", "SELECT doc_id, lang FROM documents WHERE lang = 'de'")
 def k1_overwrite(spark, sf):
     path = IO.scratch(spark, "over")
     d = table(spark, sf, "documents").select("doc_id", "lang")
     IO.write_jsonl(d, path)
     IO.write_jsonl(d.where("lang = 'de'"), path)
-    return IO.read_jsonl(spark, path, "doc_id long, lang string").agg(F.count("*").alias("n"))
+    return IO.read_jsonl(spark, path, "doc_id long, lang string")
 
 
 @query("k6_result_set", "SELECT 'per_task' AS part, count(*) AS n FROM documents UNION ALL SELECT 'aggregated', count(DISTINCT lang) FROM documents UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'traces', count(*) FROM documents")
@@ -77,10 +77,11 @@ def f11_substantive_claims(spark, sf):
     return table(spark, sf, "conversations").where(X.is_substantive(F.col("text"))).agg(F.count("*").alias("n"))
 
 
-@query("f13_bail_phrases", "SELECT event_id, event_id % 4 = 0 AS bail FROM events")
+@query("f13_bail_phrases", f"SELECT conv_id, turn, len(list_filter([{', '.join(chr(39) + p + chr(39) for p in X.BAIL_PHRASES)}], lambda p: contains(lower(text || CASE WHEN turn % 4 = 1 THEN ' search TOOLS say' ELSE '' END), p))) > 0 AS bail FROM conversations")
 def f13_bail_phrases(spark, sf):
-    said = F.when(F.col("event_id") % 4 == 0, "The search TOOLS ARE NOT answering").otherwise("Found three trials")
-    return table(spark, sf, "events").select("event_id", X.contains_any(said, X.BAIL_PHRASES).alias("bail"))
+    """Whole turns, every fourth with a phrase put behind it."""
+    said = F.concat("text", F.when(F.col("turn") % 4 == 1, " search TOOLS say").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.contains_any(said, X.BAIL_PHRASES).alias("bail"))
 
 
 @query("j7_criteria_by_verdict", "SELECT c.doc_id, count(*) AS matched FROM (SELECT doc_id, unnest([1, 2, 3]) AS k FROM documents) c JOIN (SELECT doc_id, unnest([2, 3, 4]) AS k FROM labels) v ON c.doc_id = v.doc_id AND c.k = v.k GROUP BY 1")
@@ -111,23 +112,15 @@ def l7_ordered_head(spark, sf):
     return table(spark, sf, "events").orderBy(F.desc("ts"), "event_id").limit(40).select("event_id")
 
 
-@query("d3_distinct_citations", "SELECT event_id, 2 AS n FROM events WHERE event_id % 20 = 0")
+@query("d3_distinct_citations", "SELECT event_id, 2 AS n FROM events")
 def d3_distinct_citations(spark, sf):
-    ident = (F.col("event_id") + 10000).cast("string")
-    said = F.concat(F.lit("As PMID: "), ident, F.lit(" shows, and PMID "), ident, F.lit(" again, NCT12345678."))
-    rows = CI.citations(table(spark, sf, "events").where("event_id % 20 = 0").select("event_id", said.alias("a")), ["event_id"], "a")
-    return rows.groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("d3_distinct_citations_whole")
-def d3_distinct_citations_whole(spark, sf):
-    """d3_distinct_citations of all events."""
     ident = (F.col("event_id") + 10000).cast("string")
     said = F.concat(F.lit("As PMID: "), ident, F.lit(" shows, and PMID "), ident, F.lit(" again, NCT12345678."))
     rows = CI.citations(table(spark, sf, "events").select("event_id", said.alias("a")), ["event_id"], "a")
     return rows.groupBy("event_id").agg(F.count("*").cast("int").alias("n"))
 
 
+
 @query("x12_labels_and_versions", "SELECT event_id, 'b:' || user_id AS rest, 'p' || event_id AS base FROM events")
 def x12_labels_and_versions(spark, sf):
     labelled = F.concat(F.lit("a:b:"), F.col("user_id").cast("string"))
@@ -143,18 +136,12 @@ def x14_string_predicates(spark, sf):
     )
 
 
-@query("x15_rounding_inputs", "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice * 10 + 0.5) / 10 AS r FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("x15_rounding_inputs", "SELECT l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice * 10 + 0.5) / 10 AS r FROM lineitem")
 def x15_rounding_inputs(spark, sf):
-    """Rounding half up by floor, the same in both engines; figures elsewhere are given unrounded."""
-    return table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (F.floor(F.col("l_extendedprice") * 10 + 0.5) / 10).alias("r"))
-
-
-@query("x15_rounding_inputs_whole")
-def x15_rounding_inputs_whole(spark, sf):
-    """x15_rounding_inputs of all lines."""
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.floor(F.col("l_extendedprice") * 10 + 0.5) / 10).alias("r"))
 
 
+
 @query("x16_array_functions", "SELECT doc_id, list_contains([1, 2, 3], doc_id % 5) AS has, len(list_intersect([1, 2, 3], [doc_id % 5, 3])) AS common, len(list_distinct([doc_id % 2, 1, 1])) AS kinds FROM documents")
 def x16_array_functions(spark, sf):
     one = F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<long>")
@@ -190,23 +177,15 @@ def m4_type_token_ratio(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.size(F.array_distinct(t)).cast("long").alias("kinds"), F.size(t).cast("long").alias("words"))
 
 
-@query("r11_replay_with_fallback", "SELECT event_type AS tool, count(*) FILTER (event_id % 2 = 1) AS misses FROM events WHERE event_id < 400 GROUP BY 1")
+@query("r11_replay_with_fallback", "SELECT event_type AS tool, count(*) FILTER (event_id % 2 = 1) AS misses FROM events GROUP BY 1")
 def r11_replay_with_fallback(spark, sf):
-    calls = table(spark, sf, "events").where("event_id < 400").select(F.col("event_type").alias("tool"), F.col("event_id").cast("string").alias("args"))
-    cache = calls.where("cast(args as long) % 2 = 0").withColumn("response", F.lit("stored"))
-    got = P.replayed(calls, cache, lambda: lambda tool, args: f"live {tool} {args}")
-    return got.groupBy("tool").agg(F.count_if(~F.col("hit") & F.col("response").startswith("live")).alias("misses"))
-
-
-@query("r11_replay_with_fallback_whole")
-def r11_replay_with_fallback_whole(spark, sf):
-    """r11_replay_with_fallback over all events."""
     calls = table(spark, sf, "events").select(F.col("event_type").alias("tool"), F.col("event_id").cast("string").alias("args"))
     cache = calls.where("cast(args as long) % 2 = 0").withColumn("response", F.lit("stored"))
     got = P.replayed(calls, cache, lambda: lambda tool, args: f"live {tool} {args}")
     return got.groupBy("tool").agg(F.count_if(~F.col("hit") & F.col("response").startswith("live")).alias("misses"))
 
 
+
 @query("r12_bounded_tasks", "SELECT count(*) AS n FROM documents")
 def r12_bounded_tasks(spark, sf):
     """Concurrency of client calls is the number of partitions, four here."""

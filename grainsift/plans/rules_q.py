@@ -26,7 +26,7 @@ def sql_any(text: str, phrases) -> str:
 @query(
     "f1_quality_reason",
     rf"""
-WITH q AS (SELECT doc_id, left(text, 200) || '?' AS q, source FROM documents)
+WITH q AS (SELECT doc_id, text || '?' AS q, source FROM documents)
 SELECT doc_id, CASE WHEN length(q) < 30 THEN 'short'
   WHEN starts_with(q, 'How can we better understand') THEN 'vague_prefix'
   WHEN {sql_any("q", R.META_PHRASES)} THEN 'meta_question' WHEN {sql_any("q", R.REVIEW_FRAGMENTS)} THEN 'review_fragment'
@@ -39,16 +39,10 @@ FROM q
 """,
 )
 def f1_quality_reason(spark, sf):
-    q = docs(spark, sf, "doc_id", F.concat(F.left("text", F.lit(200)), F.lit("?")).alias("q"))
-    return q.select("doc_id", R.quality_reason(F.col("q")).alias("reason"))
-
-
-@query("f1_quality_reason_whole")
-def f1_quality_reason_whole(spark, sf):
-    """f1_quality_reason over whole texts."""
     return docs(spark, sf, "doc_id", R.quality_reason(F.concat("text", F.lit("?"))).alias("reason"))
 
 
+
 @query(
     "f2_short_document_guard",
     """SELECT doc_id, length(CASE WHEN length(text) > 15000 THEN left(text, 15000) || chr(10) || '[truncated]' ELSE text END) AS n
@@ -131,23 +125,17 @@ def f9_semantic_warnings(spark, sf):
 
 @query(
     "f10_claim_predicates",
-    r"""WITH t AS (SELECT doc_id, left(text, 60) AS c, text FROM documents)
+    r"""WITH t AS (SELECT doc_id, text AS c, text FROM documents)
 SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(c), '[^a-zA-Z ]', ' ', 'g'), '\s+'), lambda w: w <> '')) < 6
    OR regexp_matches(trim(c), '(?i)^[\s,.;:\)\(*#\]]*((19|20)\d\d|PMID|NCT|et al|doi|Source)') AS fragment,
  len(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')) >= 12 AND len(regexp_extract_all(c, '[A-Za-z]{3,}')) >= 8 AS substantive FROM t""",
 )
 def f10_claim_predicates(spark, sf):
-    c = F.left("text", F.lit(60))
-    return docs(spark, sf, "doc_id", X.is_fragment(c).alias("fragment"), X.is_substantive(c).alias("substantive"))
-
-
-@query("f10_claim_predicates_whole")
-def f10_claim_predicates_whole(spark, sf):
-    """f10_claim_predicates over whole texts."""
     c = F.col("text")
     return docs(spark, sf, "doc_id", X.is_fragment(c).alias("fragment"), X.is_substantive(c).alias("substantive"))
 
 
+
 REFUSAL_SQL = X.REFUSAL.replace("'", "''")
 
 

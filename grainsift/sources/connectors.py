@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from grainsift.functions.text import strip_tags
+from pyspark.sql.window import Window
+
+from grainsift.functions.text import OPEN_QUESTION_SIGNALS, contains_any, strip_tags
 
 DEFAULTS = {
     "source": F.lit, "source_id": F.lit, "url": F.lit, "title": F.lit, "abstract": F.lit, "full_text": F.lit,
@@ -148,6 +150,22 @@ def compounds(searches: DataFrame, details: DataFrame) -> DataFrame:
     )
 
 
+def preprints(pages: DataFrame, quota: int, column: str = "json", server: str = "server", page: str = "page") -> DataFrame:
+    """Pages of preprint servers (server, page number, json) as documents: of each server, in order of pages and of
+    articles in a page, the first quota / (number of servers, two) articles that mark an open question."""
+    schema = "collection array<struct<doi:string,title:string,abstract:string,authors:string,date:string,type:string,version:string,category:string>>"
+    a = pages.select(F.col(server).alias("server"), F.col(page).alias("page"), F.posexplode(F.from_json(column, schema)["collection"]).alias("nth", "a"))
+    said = F.concat_ws(" ", "a.title", "a.abstract")
+    a = a.where(contains_any(said, OPEN_QUESTION_SIGNALS))
+    order = Window.partitionBy("server").orderBy("page", "nth")
+    a = a.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota // 2)  # a top-k, cut before the shuffle
+    doi = F.coalesce("a.doi", F.lit(""))
+    return raw(
+        a, source=F.col("server"), source_id=doi, url=F.when(doi != "", F.concat(F.lit("https://doi.org/"), doi)).otherwise(""), title=F.col("a.title"), abstract=F.col("a.abstract"), publication_date=F.col("a.date"),
+        document_type=F.coalesce("a.type", F.lit("preprint")), authors=F.when(F.coalesce("a.authors", F.lit("")) != "", F.split("a.authors", "; ")), keywords=F.array(F.coalesce("a.category", F.lit(""))), metadata=_meta(doi=doi, version=F.coalesce("a.version", F.lit(""))),
+    )
+
+
 def genes(payloads: DataFrame, column: str = "json") -> DataFrame:
     """S15i: gene records with an id."""
     g = payloads.select(F.explode(F.from_json(column, "genes array<struct<gene:struct<gene_id:string,symbol:string,description:string,full_name:string>>>")["genes"]["gene"]).alias("g")).where("coalesce(g.gene_id, '') <> ''")

@@ -14,7 +14,11 @@ from grainsift.sources.files import scratch
 
 
 def stream_of(spark: SparkSession, path: str, schema, files_per_trigger: int = 4) -> DataFrame:
-    """A file stream over a folder of Parquet files; timestamps without zone are read as UTC, which watermarks need."""
+    """A file stream over a folder of Parquet files; timestamps without zone are read as UTC, which watermarks need.
+
+    Files are read in order of modification time, files_per_trigger at once. A watermark follows what was read, so where
+    writers end in any order, lateness must cover the time by which a file can overtake another.
+    """
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return s.withColumns({c: F.col(c).cast("timestamp") for c, kind in s.dtypes if kind == "timestamp_ntz"})
 
