@@ -1,18 +1,21 @@
 """Removal of repeated substrings: every byte covered by a 100-byte string that also starts earlier.
 
-Every 100-byte window has one anchor: the 24-byte gram in it with the smallest hash (leftmost of equals). Equal
-windows have equal anchors at equal offsets, so windows can be compared among those of one anchor only. Windows
-that follow each other under one anchor form a run, and a run is all that is shipped for a new anchor:
+A run-length index answers which strings of a text stand in the texts indexed. To index and stream only what can
+repeat, texts are routed first: every 100-byte window has one anchor, the 24-byte gram in it with the smallest hash
+(leftmost of equals). Equal windows have equal anchors at equal offsets, so only windows of one anchor need to meet.
+Windows that follow each other under one anchor form a run, which is what travels:
 
 1. Each task cuts its documents into runs and keeps the first of equal runs; the others are removed at once.
-2. Runs meet by anchor. All but the first of equal runs are removed. Where an anchor has different runs, which happens at
-   the ends of copied passages, the first of each is checked window by window.
-3. The bytes of these runs meet by anchor, and all but the first occurrence of a window are removed. Where an anchor
-   has more than LARGE different runs, their windows meet by (anchor, window hash) instead, spread over all tasks.
+2. Runs meet by anchor, in order. All but the first of equal runs are removed. Where an anchor has different runs, which
+   happens at the ends of copied passages, the first of each goes on.
+3. Their bytes meet by anchor, in order. The earlier half of each anchor's runs is put into a run-length index (a run-compressed
+   Burrows-Wheeler transform with sampled run ends), in which the least place of each window is kept; the matching
+   statistics of the later half are streamed through it, and every match of 100 bytes marks a window. Runs with windows left go
+   round again. Where an anchor has more than LARGE different runs, its windows travel one by one, spread by their hash.
 4. The removed intervals of a document meet its text.
 
-Keys are 128 bits (64-bit anchor hash and 64-bit hash of the run or window). No step holds a group of copies in
-one task: a hot passage sends one run per task and anchor.
+Step 3 compares bytes. Equal runs are told by their anchor's hash and a 64-bit xxh3 of their bytes. No step holds a group
+of copies in one task: a hot passage sends one run per task and anchor, and what an anchor or window keeps in memory is its different runs.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import bounded_batches, shuffle_partitions, written
+from grainsift.llm.common import bounded_batches, give_back_memory, shuffle_partitions, written
+from grainsift.llm.run_index import RunIndex
 
 LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1  # grams of a window
@@ -71,8 +76,8 @@ class Hashes:
         return _mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
-def runs_of(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, run hash, start, windows) of the runs of a byte string, segment by segment."""
+def runs_of(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash, start, windows) of the runs of a byte string, segment by segment."""
     for base in range(0, len(data) - LENGTH + 1, SEGMENT):
         part = data[base : base + SEGMENT + LENGTH - 1]
         hashes = Hashes(part)
@@ -88,10 +93,7 @@ def runs_of(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         anchor = (least & low).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(start, len(anchor)))
-        at = anchor[start]
-        shape = (at - start) * 1024 + count
-        whole = _mixed(hashes.of(start, count + LENGTH - 1) + shape.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        yield gram[at], whole, start + base, count
+        yield gram[anchor[start]], start + base, count
 
 
 def _bytes_of(text: pa.Scalar) -> np.ndarray:
@@ -113,29 +115,10 @@ def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
     return order, later
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut where the first `keys` columns change."""
-    rest: list[np.ndarray] | None = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = np.ones(len(cols[0]), bool)
-        for k in cols[:keys]:
-            last &= k == k[-1]
-        cut = int(np.argmax(last))
-        if cut:
-            yield [c[:cut] for c in cols]
-        rest = [c[cut:] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
 # A run's start, its windows (at most 77) and whether it is removed travel as one long, for rows are many and small.
 RUN = "h long, g long, doc long, at long"
-LARGE = 20_000  # different runs of one anchor; beyond, their windows meet by hash, spread over all tasks
+LARGE = 20_000  # different runs of one anchor; beyond, their windows travel one by one, spread over all tasks
+BUFFER = 4 << 20  # bytes of runs that meet at once; an anchor's different runs are carried on
 
 
 def _packed(start: np.ndarray, n: np.ndarray, flag: np.ndarray | int = 0) -> np.ndarray:
@@ -180,7 +163,11 @@ def _document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for h, g, start, n in runs_of(_bytes_of(t)):
+            data = _bytes_of(t)
+            raw = data.tobytes()
+            for h, start, n in runs_of(data):
+                cuts = zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)
+                g = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in cuts), np.uint64, len(h))
                 parts.append((h, g, np.full(len(h), i, np.int64), start.astype(np.int64), n))
                 size += len(h)
             if size >= FLUSH:
@@ -192,29 +179,75 @@ def _document_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _meet_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, at, kind): removed runs (0), and first runs to check by window: of anchors with few (1) or many (2) different runs."""
-    for h, g, doc, at in _whole_groups(batches, 1):
-        order, later = _later((h, g), doc, at >> 21)
-        h, g, doc, at = (x[order] for x in (h, g, doc, at))
-        start, n, gone = _unpacked(at)
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        live = ~gone
-        kinds = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) & live
-        several = np.bincount(group, kinds.astype(float))[group]
-        kind = np.where(gone | later, 0, np.where(several > LARGE, 2, 1)).astype(np.int32)
-        out = (kind == 0) | (several > 1)
-        yield _batch("h long, doc long, at long, kind int", *(x[out] for x in (h, doc, _packed(start, n), kind)))
+    """Rows (h, doc, at, kind) of batches in order of (h, g, doc, at): removed runs (0), and first runs to check by window: of anchors
+    with few (1) or many (2) different runs. Of one anchor LARGE rows are held at most."""
+    names = "h long, doc long, at long, kind int"
+    last = head = None  # (h, g) of the last live row; (doc, start) of the first row of this kind
+    held: list[tuple[np.ndarray, ...]] = []  # first runs of the open anchor that are not out yet
+    count, large = 0, False
+
+    def out(rows: tuple[np.ndarray, ...], kind: int | np.ndarray) -> pa.RecordBatch:
+        return _batch(names, *rows, np.broadcast_to(np.asarray(kind, np.int32), len(rows[0])))
+
+    def release() -> Iterator[pa.RecordBatch]:
+        if held and (large or count > 1):
+            yield out(tuple(map(np.concatenate, zip(*held, strict=True))), 2 if large else 1)
+        held.clear()
+
+    for b in batches:
+        h, g, doc, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        gone = (at & 1).astype(bool)
+        if gone.any():
+            yield out((h[gone], doc[gone], at[gone] & ~1), 0)
+        h, g, doc, at = (x[~gone] for x in (h, g, doc, at))
+        if not len(h):
+            continue
+        start = at >> 21
+        new = np.concatenate([[(h[0], g[0]) != last], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        head_doc, head_start = (np.where(first < 0, c, x[first]) for x, c in zip((doc, start), head or (0, 0), strict=True))
+        later = ~new & ((doc != head_doc) | (start != head_start))
+        if later.any():
+            yield out((h[later], doc[later], at[later]), 0)
+        head, before = (int(head_doc[-1]), int(head_start[-1])), last
+        last = (h[-1], g[-1])
+        h, doc, at = h[new], doc[new], at[new]
+        if not len(h):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(edge, len(h)))
+        goes_on = before is not None and h[0] == before[0]
+        if not goes_on:
+            yield from release()
+            count, large = 0, False
+        for k in sorted({0, len(edge) - 1}):  # the anchors at either end of the batch may have more runs in other batches
+            if k:
+                yield from release()
+                count, large = 0, False
+            rows = tuple(x[edge[k] : edge[k] + size[k]] for x in (h, doc, at))
+            held.append(rows)
+            count += int(size[k])
+            large = large or count > LARGE
+            if large:
+                yield from release()
+        inner = np.repeat(size, size)
+        inner[: size[0]] = 0
+        inner[len(h) - size[-1] :] = 0
+        some = inner > 1
+        if some.any():
+            yield out((h[some], doc[some], at[some]), np.where(inner[some] > LARGE, 2, 1).astype(np.int32))
+    yield from release()
 
 
 MET = "h long, w long, doc long, start long, text binary"
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, w, doc, start, text) of the runs listed with each text: the bytes of a run, or, for anchors with many
-    different runs, one row for each window with its hash w and no bytes."""
+    """Rows (h, w, doc, start, text) of the runs listed with each text: the bytes of a run and w 0, or, for anchors with many
+    different runs, those of each window and its hash w, which only spreads them."""
     for b in batches:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        text: list[bytes | None] = []
+        text: list[bytes] = []
         for i, t, h, at in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), _lists(b.column(3)), strict=True):
             data = _bytes_of(t)
             start, n, many = _unpacked(at)
@@ -230,25 +263,103 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes = Hashes(data[base * SEGMENT : (base + 1) * SEGMENT + LENGTH - 1])
                 first = np.repeat(start[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
                 rows.append((np.repeat(h[mine], k), hashes.of(first - base * SEGMENT, LENGTH), np.full(len(first), i, np.int64), first))
-                text += [None] * len(first)
+                text += [raw[s : s + LENGTH] for s in first.tolist()]
         if text:
             h, w, doc, start = (np.concatenate(x) for x in zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w.view(np.int64)), pa.array(doc), pa.array(start), pa.array(text, pa.binary())], ["h", "w", "doc", "start", "text"])
 
 
+def repeated_windows(group: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, offset, repeated) of every window of texts, which stand in order within each group: whether an earlier text of the
+    group holds it too. No text holds a window twice, and no two groups share one."""
+    windows = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
+    base = np.cumsum(windows) - windows
+    marked = np.zeros(int(windows.sum()), bool)
+
+    def spread(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """start + 0, 1, .. for each window of the rows."""
+        n = windows[rows]
+        return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    live = np.arange(len(texts))
+    while True:
+        edge = np.flatnonzero(np.concatenate([[True], group[live][1:] != group[live][:-1]])) if len(live) else live
+        size = np.diff(np.append(edge, len(live)))
+        n, nth = np.repeat(size, size), np.arange(len(live)) - np.repeat(edge, size)
+        earlier, later = live[(n > 1) & (nth < (n + 1) // 2)], live[nth >= (n + 1) // 2]
+        if not len(earlier):
+            break
+        index = RunIndex([texts[i] for i in earlier.tolist()], LENGTH)
+        place, least = index.first_places()
+        place = place[place != least]
+        text = np.searchsorted(index.start, place, "right") - 1
+        marked[base[earlier[text]] + place - index.start[text]] = True
+        index.forget_order()
+        streamed = [texts[i] for i in later.tolist()]
+        size = windows[later] + LENGTH
+        found = index.long_matches(streamed)[spread(later, np.cumsum(size) - size)]
+        marked[spread(later, base[later])] |= found
+        left = np.add.reduceat(~marked, base, dtype=np.int64)
+        live = later[left[later] > 0]
+    every = np.arange(len(texts))
+    return np.repeat(every, windows), spread(every, np.zeros(len(texts), np.int64)), marked
+
+
+def _by_table(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The same for one group whose texts overlap in a document, as rows that share an id do: a window is compared with its first
+    place, and one at that very place is not repeated."""
+    rows = sorted((d, s + i, k, i) for k, (d, s, t) in enumerate(zip(doc.tolist(), start.tolist(), texts, strict=True)) for i in range(len(t) - LENGTH + 1))
+    first: dict[bytes, tuple[int, int]] = {}
+    out = [np.zeros(len(t) - LENGTH + 1, bool) for t in texts]
+    for d, s, k, i in rows:
+        out[k][i] = first.setdefault(texts[k][i : i + LENGTH], (d, s)) != (d, s)
+    return np.concatenate(out)
+
+
 def _meet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that also occur earlier: rows (doc, at)."""
-    for h, w, doc, start, text in _whole_groups(batches, 2):
-        size = np.array([LENGTH if t is None else len(t) for t in text])
-        single = np.array([t is None for t in text])
-        ends, n = np.cumsum(size), size - LENGTH + 1
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hashes = Hashes(np.frombuffer(b"".join(bytes(LENGTH) if t is None else t for t in text), np.uint8)).of(np.repeat(ends - size, n) + inside, LENGTH)
-        hashes = np.where(np.repeat(single, n), np.repeat(w.view(np.uint64), n), hashes)
-        doc, start = np.repeat(doc, n), np.repeat(start, n) + inside
-        order, later = _later((np.repeat(h, n), hashes), doc, start)
-        at = order[later]
-        yield _batch("doc long, at long", *_joined_windows(doc[at], start[at]))
+    """Windows that also occur earlier, as rows (doc, at), of batches in order of (h, w, doc, start). Of the last group of a buffer
+    the texts that hold something new are carried into the next."""
+    held: list[tuple] = []  # (h, w, doc, start, known) columns and texts
+    size = 0
+
+    def met(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        h, w, doc, start, known = (np.concatenate(c) for c in zip(*(r[:5] for r in held), strict=True))
+        text = [t for r in held for t in r[5]]
+        held.clear()
+        size = 0
+        same = np.concatenate([[False], (h[1:] == h[:-1]) & (w[1:] == w[:-1])])
+        twin = np.concatenate([[False], same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
+        twin[twin] = [text[i] == text[i - 1] for i in np.flatnonzero(twin).tolist()]  # repeated rows share what is removed
+        if twin.any():
+            keep = np.flatnonzero(~twin)
+            h, w, doc, start, known, text = h[keep], w[keep], doc[keep], start[keep], known[keep], [text[i] for i in keep.tolist()]
+            same = np.concatenate([[False], (h[1:] == h[:-1]) & (w[1:] == w[:-1])])
+        group = np.cumsum(~same) - 1
+        n = np.fromiter(map(len, text), np.int64, len(text)) - LENGTH + 1
+        overlap = np.concatenate([[False], same[1:] & (doc[1:] == doc[:-1]) & (start[1:] < start[:-1] + n[:-1])])
+        odd = np.isin(group, group[overlap])
+        row, inside, repeated = repeated_windows(np.where(odd, -1 - np.arange(len(group)), group), text)
+        for k in np.unique(group[odd]).tolist():
+            mine = np.flatnonzero(group == k)
+            repeated[np.isin(row, mine)] = _by_table(doc[mine], start[mine], [text[i] for i in mine.tolist()])
+        out = repeated & ~known[row]
+        yield _batch("doc long, at long", *_joined_windows(doc[row[out]], start[row[out]] + inside[out]))
+        if not final:
+            fresh = np.bincount(row, ~repeated, len(text)) > 0
+            carried = np.flatnonzero((group == group[-1]) & (fresh | known))
+            held.append((h[carried], w[carried], doc[carried], start[carried], np.ones(len(carried), bool), [text[i] for i in carried.tolist()]))
+
+    for b in batches:
+        if b.num_rows:
+            text = b.column(4).to_pylist()
+            held.append((*(c.to_numpy(zero_copy_only=False) for c in b.columns[:4]), np.zeros(b.num_rows, bool), text))
+            size += sum(map(len, text))
+            if size >= BUFFER:
+                yield from met(False)
+    if held:
+        yield from met(True)
+    give_back_memory()
 
 
 def _removals(batches: Iterator[pa.RecordBatch], tail: bool) -> Iterator[pa.RecordBatch]:
@@ -284,13 +395,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = shuffle_partitions(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
 
-    runs = source.mapInArrow(_document_runs, RUN).repartition(parts, "h").sortWithinPartitions("h")
+    runs = source.mapInArrow(_document_runs, RUN).repartition(parts, "h").sortWithinPartitions("h", "g", "doc", "at")
     met = written(runs.mapInArrow(_meet_runs, "h long, doc long, at long, kind int"), "repeat-runs")
 
     check = met.where("kind > 0").select("doc", "h", F.col("at").bitwiseOR((F.col("kind") == 2).cast("long")).alias("at"))
     lists = check.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("r")).select("doc", F.col("r.h").alias("h"), F.col("r.at").alias("at"))
     rows = source.join(lists, "doc").select("doc", "text", "h", "at").mapInArrow(_run_rows, MET)
-    single = rows.repartition(parts, "h", "w").sortWithinPartitions("h", "w").mapInArrow(_meet_rows, "doc long, at long")
+    single = rows.repartition(parts, "h", "w").sortWithinPartitions("h", "w", "doc", "start").mapInArrow(_meet_rows, "doc long, at long")
     gone = met.where("kind = 0").select("doc", "at").unionByName(written(single, "repeat-windows"))
 
     spans = gone.groupBy("doc").agg(F.collect_list("at").alias("gone"))
