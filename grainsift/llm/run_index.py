@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 FIRST = 7  # symbols of nine bits that the first sort of suffixes compares
+NEAR = 16  # matches up to this length are compared on as many symbols
+STEPS = 4  # symbols after which texts are given up
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,49 +103,54 @@ class RunIndex:
         self.order = None
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Symbols that the suffixes at a and b share, up to `most`."""
+        """Symbols that the suffixes at a and b share, up to `most`; few are read where `most` is small."""
         out = np.empty(len(a), np.int64)
-        for i in range(0, len(a), 1 << 14):
-            differs = self.windows[a[i : i + (1 << 14)]] != self.windows[b[i : i + (1 << 14)]]
-            at = differs.argmax(axis=1)
-            out[i : i + (1 << 14)] = np.where(differs[np.arange(len(at)), at], at, self.length)
+        for lanes, wide in ((np.flatnonzero(most <= NEAR), min(NEAR, self.length)), (np.flatnonzero(most > NEAR), self.length)):
+            view = self.windows[:, :wide]
+            for i in range(0, len(lanes), 1 << 14):
+                some = lanes[i : i + (1 << 14)]
+                differs = view[a[some]] != view[b[some]]
+                at = differs.argmax(axis=1)
+                out[some] = np.where(differs[np.arange(len(at)), at], at, wide)
         return np.minimum(out, most)
 
     def long_matches(self, texts: list[bytes]) -> np.ndarray:
-        """At which places of joined(texts) a match of `length` symbols with an indexed text starts."""
+        """At which places of joined(texts) a match of `length` symbols with an indexed text starts.
+
+        All texts advance together; one that can't reach such a match any more is given up.
+        """
+        symbols, start = joined(texts)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        lanes = np.argsort(-size, kind="stable")
-        size, (symbols, start) = size[lanes], joined([texts[i] for i in lanes.tolist()])
-        rank, place, match = np.zeros(len(lanes), np.int64), np.full(len(lanes), self.place[1, 0], np.int64), np.zeros(len(lanes), np.int64)
+        left = size.copy()  # symbols of each text that are still to come
+        rank, place, match = np.zeros(len(texts), np.int64), np.full(len(texts), self.place[1, 0], np.int64), np.zeros(len(texts), np.int64)
         found = np.zeros(len(symbols), bool)
         scale = len(self.symbols) + 1
-        live = len(lanes)
-        for step in range(int(size.max(initial=0))):
-            while size[live - 1] <= step:
-                live -= 1
-            at = start[:live] + size[:live] - 1 - step
-            c = symbols[at]
-            run = np.searchsorted(self.first, rank[:live], "right") - 1
-            off = self.symbol[run] != c
-            grown = self.maps[run] + rank[:live] - self.first[run]
-            miss = np.flatnonzero(off)
-            if len(miss):
-                want = c[miss].astype(np.int64) * scale
-                below = np.searchsorted(self.sorted, want + rank[miss])  # the first run of the symbol from here on
-                best, to_rank, to_place = np.full(len(miss), -1, np.int64), np.zeros(len(miss), np.int64), np.full(len(miss), self.place[1, 0] + 1)
-                for side, spot in ((0, below - 1), (1, below)):
-                    ok = (spot >= 0) & (spot < len(self.sorted))
-                    ok[ok] = self.symbol[self.by[spot[ok]]] == c[miss[ok]]
-                    near = self.by[spot[ok]]
-                    shared = self._common(place[miss[ok]], self.place[side, near], match[miss[ok]])
-                    better = shared > best[ok]
-                    lane = np.flatnonzero(ok)[better]
-                    best[lane], to_rank[lane], to_place[lane] = shared[better], self.ends[side, near[better]], self.place[side, near[better]]
-                grown[miss], match[miss], place[miss] = to_rank, best, to_place
-            rank[:live] = grown
-            place[:live] -= 1
-            match[:live] += 1
-            found[at] = match[:live] >= self.length
-        inverse = np.argsort(lanes)  # back to the order of the texts
-        start, size = start[inverse], size[inverse]
-        return found[np.arange(len(found)) + np.repeat(start - (np.cumsum(size + 1) - size - 1), size + 1)]
+        while True:
+            live = (left > 0) & (match + left >= self.length)
+            if not live.all():
+                start, left, rank, place, match = start[live], left[live], rank[live], place[live], match[live]
+            if not len(left):
+                return found
+            for _ in range(min(STEPS, int(left.min()))):
+                left -= 1
+                at = start + left
+                c = symbols[at]
+                run = np.searchsorted(self.first, rank, "right") - 1
+                rank += self.maps[run] - self.first[run]
+                miss = np.flatnonzero(self.symbol[run] != c)
+                if len(miss):
+                    was = rank[miss] - self.maps[run[miss]] + self.first[run[miss]]
+                    below = np.searchsorted(self.sorted, c[miss].astype(np.int64) * scale + was)  # the first run of the symbol from here on
+                    best, to_rank, to_place = np.full(len(miss), -1, np.int64), np.zeros(len(miss), np.int64), np.full(len(miss), self.place[1, 0] + 1)
+                    for side, spot in ((0, below - 1), (1, below)):
+                        ok = (spot >= 0) & (spot < len(self.sorted))
+                        ok[ok] = self.symbol[self.by[spot[ok]]] == c[miss[ok]]
+                        near = self.by[spot[ok]]
+                        shared = self._common(place[miss[ok]], self.place[side, near], match[miss[ok]])
+                        better = shared > best[ok]
+                        lane = np.flatnonzero(ok)[better]
+                        best[lane], to_rank[lane], to_place[lane] = shared[better], self.ends[side, near[better]], self.place[side, near[better]]
+                    rank[miss], match[miss], place[miss] = to_rank, best, to_place
+                place -= 1
+                match += 1
+                found[at] = match >= self.length

@@ -117,7 +117,7 @@ def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) ->
 
 # A run's start, its windows (at most 77) and whether it is removed travel as one long, for rows are many and small.
 RUN = "h long, g long, doc long, at long"
-LARGE = 20_000  # different runs of one anchor; beyond, their windows travel one by one, spread over all tasks
+LARGE = 2_000  # different runs of one anchor; beyond, their windows travel one by one, spread over all tasks
 BUFFER = 4 << 20  # bytes of runs that meet at once; an anchor's different runs are carried on
 
 
