@@ -8,6 +8,7 @@ accidental agreements; what falls clearly short is dropped, the rest is confirme
 Documents with equal shingle sets are one node. In each bucket every node first meets two leaders, which settles
 tight groups in linear time; only pairs of one bucket whose components still differ are then compared, in
 blocks of bounded size, so no link between different texts is lost and no group is expanded into all its pairs.
+Rows of a bucket's largest component are copied once for each block of its other rows, not for each other.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ROWS, BANDS = 7, 48
 MINIMA = ROWS * BANDS
 LEAST_PERCENT = 80  # here the bands miss a link with 1.3e-5; below, more
 MARGIN = 0.08  # four standard errors of the estimate at a threshold of 0.85; wider below
-BLOCK = 2048  # nodes of a bucket that one task compares with as many others
+BLOCK = 512  # nodes of a bucket that one task compares with as many others
 CELL_EDGES = 1_500
 BROADCAST_ROWS = 1_000_000  # of (cell, id): up to 16 MB of values meet the texts by broadcast, more by a shuffle
 _SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
@@ -205,10 +206,15 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
 
     placed = member.join(label.withColumnRenamed("id", "node"), "node", "left").select("key", F.col("key").bitwiseAND(63).cast("int").alias("band"), "node", "n", F.coalesce("component", "node").alias("comp"))
     placed = written(placed, "near-placed")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
-    rows = placed.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # Of the members of a bucket's largest component none are compared with each other: they only meet the others' blocks.
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.m").alias("main_n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rest, most = blocks(F.col("n") - F.col("main_n")), blocks(F.col("main_n"))
+    spread = lambda parts: F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int")
+    in_main = F.col("comp") == F.col("main")
+    rows = placed.join(open_, "key").withColumn("own", F.when(in_main, rest + spread(most)).otherwise(spread(rest)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, rest - 1).otherwise(rest + most - 1))))
     rows = rows.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), "node", "comp")
     rows = rows.join(nodes.select("node", "sig"), "node")
     floor = lowest_estimate(percent)
