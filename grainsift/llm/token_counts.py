@@ -6,9 +6,10 @@ prefix, and with it the number of tokens, follows from a bounded window of earli
 machine. `BpeTransducer` builds it from the trie of the vocabulary as inputs ask for it; a transition reads
 one byte and carries the change in emitted tokens, and a final weight closes the word.
 
-Texts are cut into chunks. The map of a chunk (state before -> state after, tokens emitted) is kept as its
-text before the first blank, the count between, and its text after the last blank, for at a blank every state
-falls back to the start. These maps are an associative monoid; `scan` composes them as a balanced tree.
+Texts are cut into chunks, and pre-tokens of over PIECE symbols into pieces. The map of a piece (state before -> state after, tokens
+emitted) is a `PieceMap`; that of a chunk is its text before the first blank, the count between, and its text after
+the last blank, for at a blank every state falls back to the start. Both kinds of maps are associative monoids and are
+composed as balanced trees.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from grainsift.llm.common import Memo, bounded_batches, without_cycle_collection
 
 CHUNK = 1 << 16  # characters
+PIECE = 1 << 12  # symbols of a pre-token that are mapped at once
+MEET = 64  # symbols within which runs from different states are expected to meet
 MAX_STATES = 100_000  # machine states kept; beyond, it is built anew
 MAX_PAIRS = 400_000  # pairs of tokens judged whose answer is remembered
 MAX_WORDS = 600_000  # fragments, and pre-tokens, whose count is remembered
@@ -35,6 +38,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_WORDS = regex.compile(WORDS.replace(r"\s", r"\t-\r \x85\xa0")).findall
 
 
+START = ((0, None, 0),)  # content of the state at the start of a pre-token
+
+
 class BpeTransducer:
     """The machine of one vocabulary: bytes of a pre-token in, number of tokens out.
 
@@ -68,8 +74,8 @@ class BpeTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, int] = {((0, None, 0),): 0}
-        self.content: list[tuple] = [((0, None, 0),)]
+        self.states: dict[tuple, int] = {START: 0}
+        self.content: list[tuple] = [START]
         self.step: list[dict[str, tuple[int, int]]] = [{}]
         self.close: list[dict[str, int]] = [{}]
 
@@ -95,8 +101,11 @@ class BpeTransducer:
 
     def _advance(self, state: int, ch: str, last: bool) -> tuple[list[tuple[int, str | None, int]], str | None, int]:
         """Open positions after ch; the last token of the prefix and its count relative to the state."""
+        return self._advance_from(self.content[state], ch, last)
+
+    def _advance_from(self, content: tuple, ch: str, last: bool) -> tuple[list[tuple[int, str | None, int]], str | None, int]:
         opened, token, count = [], None, 0
-        for node, left, n in self.content[state]:  # longest first
+        for node, left, n in content:  # longest first
             down = self.trie[node].get(ch)
             if down is None:
                 continue
@@ -121,8 +130,28 @@ class BpeTransducer:
             self.close.append({})
         return self.states[content], count
 
+    def walk(self, content: tuple, text: str) -> Iterator[tuple[tuple, int]]:
+        """State content and tokens emitted after each symbol of text, from a state given by its content."""
+        for ch in text:
+            state = self.states.get(content)
+            if state is None:  # of a machine that was built anew since
+                state = self.states[content] = len(self.content)
+                self.content.append(content)
+                self.step.append({})
+                self.close.append({})
+            found = self.step[state].get(ch)
+            if found is None:
+                step = self.step[state]
+                found = step[ch] = self.transition(state, ch)
+            content = self.content[found[0]]
+            yield content, found[1]
+
     def count(self, word: str) -> int:
-        """Tokens of one pre-token, its bytes written as the vocabulary writes them."""
+        """Tokens of one pre-token, its bytes written as the vocabulary writes them; a long one piece by piece."""
+        if len(word) > PIECE:
+            whole = composed([PieceMap(self, word[i : min(i + PIECE, len(word) - 1)]) for i in range(0, len(word) - 1, PIECE)])
+            _, token, n = self._advance_from(whole.exit, word[-1], True)
+            return whole.total + (n if token is not None else 0)
         state, total, step = 0, 0, self.step
         for ch in word[:-1]:
             found = step[state].get(ch)
@@ -139,6 +168,55 @@ class BpeTransducer:
         return total + delta
 
 
+class PieceMap:
+    """The state map of a piece of a pre-token: state before -> state after, tokens emitted.
+
+    The piece is run from the start state and the states on its first MEET symbols are kept. Runs from other states nearly
+    always fall in with it there, and go on alike from then; one that doesn't is run to its end.
+    """
+
+    def __init__(self, machine: BpeTransducer, text: str):
+        self.machine, self.text, self.path, self.total = machine, text, [], 0
+        self.exit = START
+        for i, (self.exit, n) in enumerate(machine.walk(START, text)):
+            self.total += n
+            if i < MEET:
+                self.path.append((self.exit, self.total))
+
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        if state == START:
+            return self.exit, self.total
+        total = 0
+        for i, (state, n) in enumerate(self.machine.walk(state, self.text)):
+            total += n
+            if i < len(self.path) and state == self.path[i][0]:
+                return self.exit, total + self.total - self.path[i][1]
+        return state, total
+
+
+class JointMap:
+    """The map of two neighbouring stretches; composition is associative."""
+
+    def __init__(self, left: PieceMap | JointMap, right: PieceMap | JointMap):
+        self.left, self.right = left, right
+        self.exit, n = right.apply(left.exit)
+        self.total = left.total + n
+
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        middle, a = self.left.apply(state)
+        if middle == self.left.exit:
+            return self.exit, a + self.total - self.left.total
+        after, b = self.right.apply(middle)
+        return after, a + b
+
+
+def composed(maps: list) -> PieceMap | JointMap:
+    """All maps as one, by a balanced tree."""
+    while len(maps) > 1:
+        maps = [JointMap(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
 class TokenCounter:
     """Counts tokens as a tokenizers file defines them: special strings, normaliser, pre-tokens, BPE."""
 
