@@ -29,6 +29,7 @@ from operator import not_
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -198,7 +199,8 @@ def _tokenizer(name: str):
 
 #: White space other than blank and line feed; a text with any of it goes to the library as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_PIECES = 700_000
+PORTION = 1 << 23  # characters whose pieces are looked up at once
+MEMO_PIECES = 300_000
 MEMO_TEXTS = 8_192  # of at most 8 kB of ids
 
 
@@ -253,28 +255,48 @@ class PieceEncoder:
         return out
 
     def _encode_distinct(self, texts: list[str]) -> list[bytes]:
-        """Pieces are looked up as each text is split; the new ones of all texts are then encoded together and filled in."""
-        done: list[tuple[bytes, list, list]] = []
-        new: dict[str, bytes] = {}
-        if len(self.pieces) > self.most_pieces:  # start anew with the pieces that these texts use
-            used = set().union(*[t.split(" ") for t in texts])
-            self.pieces = {w: ids for w in used if (ids := self.pieces.get(w)) is not None}
-        look = self.pieces.get
-        for t in texts:
+        """Texts that may be cut go portion by portion through their distinct pieces; the others are encoded whole."""
+        out: list[bytes | None] = [None] * len(texts)
+        portion, size = [], 0
+        for i, t in enumerate(texts):
             if not self.cuts or "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or ODD_SPACE.search(t):
-                done.append((self.whole(t), [], []))
+                out[i] = self.whole(t)
                 continue
-            first, *rest = t.split(" ")
-            parts = list(map(look, rest))
-            holes = [(i, rest[i]) for i in compress(range(len(parts)), map(not_, parts))]  # ids of a piece are never empty
-            new.update(dict.fromkeys([w for _, w in holes]))
-            done.append((self.whole(first), parts, holes))
-        new = self._encode_pieces(list(new))
+            portion.append(i)
+            size += len(t)
+            if size >= PORTION:
+                self._encode_portion(texts, portion, out)
+                portion, size = [], 0
+        if portion:
+            self._encode_portion(texts, portion, out)
+        return out
+
+    def _encode_portion(self, texts: list[str], portion: list[int], out: list[bytes | None]) -> None:
+        """Look up the distinct pieces of some texts, encode the new ones together, and lay the ids of all pieces out as one array."""
+        lists = pc.split_pattern(pa.array([texts[i] for i in portion], pa.large_string()), " ")
+        cuts = lists.offsets.to_numpy()
+        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
+        cuts = cuts - cuts[0]
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        if len(self.pieces) > self.most_pieces:  # start anew with the pieces that these texts use
+            self.pieces = {w: ids for w in words if (ids := self.pieces.get(w)) is not None}
+        parts = list(map(self.pieces.get, words))
+        holes = [i for i in compress(range(len(parts)), map(not_, parts)) if words[i]]  # ids of a piece are never empty
+        new = self._encode_pieces([words[i] for i in holes])
         self.pieces.update(new)
-        for _, parts, holes in done:
-            for i, w in holes:
-                parts[i] = new[w]
-        return [head + b"".join(parts) for head, parts, _ in done]
+        for i in holes:
+            parts[i] = new[words[i]]
+        parts = [p or b"" for p in parts]
+        codes[cuts[:-1]] = len(parts) + np.arange(len(portion))  # the first piece of a text has no blank before it
+        parts += [self.whole(words[k]) for k in coded.indices.to_numpy()[cuts[:-1]].tolist()]
+        ids = np.frombuffer(b"".join(parts), self.dtype)
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // ids.itemsize
+        start, n = (np.cumsum(n) - n)[codes], n[codes]
+        ends = np.cumsum(n)
+        laid = ids[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
+        stops = np.concatenate([[0], ends])[cuts] * ids.itemsize
+        for i, x, y in zip(portion, stops.tolist(), stops[1:].tolist(), strict=False):
+            out[i] = laid[x:y]
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
@@ -300,7 +322,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     then is the key.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=5000)
+    bounded_batches(spark, rows=5000, mbytes=16)
     n_shards = n_shards or max(shuffle_partitions(spark), -(-docs.count() // ROWS_PER_SHARD))
     width = 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
     root = folder.rstrip("/")
