@@ -47,7 +47,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(conf).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, mbytes: int = 8) -> None:
     """Keep Arrow batches small in bytes, so that runs of very long texts don't pile up in a Python worker."""
     reach_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import bounded_batches
+from grainsift.llm.common import bounded_batches, give_back_memory
 
 Q = 8
 EDIT_RATE = 0.1
@@ -272,6 +272,8 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
                     at, item, start, end, edits = zip(*found, strict=True)
                     cols = [pa.array(x, pa.int64()) for x in (item, start, end)]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *cols, pa.array(edits, pa.int32())], ["_id", "item_id", "start", "end", "edits"])
+            del index
+            give_back_memory()
 
         parts.append(rows.mapInArrow(search, schema))
     out = parts[0] if parts else spark.createDataFrame([], schema)
@@ -293,6 +295,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str
             for b in batches:
                 good = [not (t.is_valid and index.find(t.as_py(), first_only=True)) for t in b.column(place)]
                 yield b.filter(pa.array(good, pa.bool_()))
+            del index
+            give_back_memory()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

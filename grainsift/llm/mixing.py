@@ -153,7 +153,7 @@ def mix_order(docs: DataFrame, weights: Mapping[str, float], *, totals: Mapping[
     names = sorted(share)
     blocks = [-(-totals[s][1] // block) if s in totals else 0 for s in names]
     slots = _schedule_table(spark, [share[s] for s in names], blocks, cycle)
-    number = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "mix_s string, mix_k long")  # one row per source
+    number = spark.createDataFrame(pa.table({"mix_s": pa.array(names, pa.string()), "mix_k": pa.array(range(len(names)), pa.int64())}))  # one row per source
     rows = rows.join(F.broadcast(number), "mix_s", "left")
     rows = rows.join(F.broadcast(slots) if sum(blocks) <= BROADCAST_BLOCKS else slots.hint("merge"), ["mix_k", "mix_block"], "left")
     # A source runs out with its last whole block; the earliest such release ends the part that is on target.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainsift.llm.common import bounded_batches
+from grainsift.llm.common import bounded_batches, give_back_memory
 from grainsift.llm.features import SEGMENT, bucket_counts, bucket_segments, class_quotas, code_segments, collected_features, held_out, sampled_rows
 
 ORDERS, BITS = 3, 16
@@ -166,6 +166,7 @@ def quality_scores(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_i
         for b in batches:
             scores = [shared.value.score(t.as_py()) for t in b.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(scores, pa.float64())], [*kept, "score"])
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 
