@@ -23,8 +23,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import public_tokenizers
@@ -200,7 +198,7 @@ def _tokenizer(name: str):
 #: White space other than blank and line feed; a text with any of it goes to the library as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PORTION = 1 << 23  # characters whose pieces are looked up at once
-MEMO_PIECES = 300_000
+MEMO_PIECES = 1_500_000
 MEMO_TEXTS = 8_192  # of at most 8 kB of ids
 
 
@@ -216,7 +214,7 @@ class PieceEncoder:
         spec = json.loads(self.library.to_str())
         blank = any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
         self.cuts = not blank and spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
         self.texts: dict[bytes, bytes] = {}  # ids of recent texts by 128-bit digest: copies are encoded once
         tab = self.library.encode("\t", add_special_tokens=False).ids
         self.tab = tab[0] if len(tab) == 1 else None
@@ -224,23 +222,28 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encode_pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, many to a call: pieces open with a blank and hold no tab, so a tab between them is a token of its own."""
-        out: dict[str, bytes] = {}
+    def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one behind the other, and how many each has. Many go to a call: pieces open with a blank and hold no
+        tab, so a tab between them is a token of its own."""
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for i in range(0, len(new), 256):
             part = new[i : i + 256]
             if self.tab is not None:
                 ids = np.array(self.library.encode_batch_fast([" " + "\t ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-                ends = np.flatnonzero(ids == self.tab)
+                tab = ids == self.tab
+                ends = np.flatnonzero(tab)
                 if len(ends) == len(part) - 1:
-                    data, size = ids.tobytes(), ids.itemsize
-                    stop = [*(ends * size).tolist(), len(data)]
-                    start = [0, *((ends + 1) * size).tolist()]
-                    out.update(zip(part, [data[a:b] for a, b in zip(start, stop, strict=True)], strict=True))
+                    flat.append(ids[~tab])
+                    sizes.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
                     continue
-            for w, e in zip(part, self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False), strict=True):
-                out[w] = np.array(e.ids, self.dtype).tobytes()
-        return out
+            got = [e.ids for e in self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False)]
+            flat.append(np.array([x for ids in got for x in ids], self.dtype))
+            sizes.append(np.array(list(map(len, got)), np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _forget(self) -> None:
+        """No piece known but the empty one, which has no ids."""
+        self.known, self.flat, self.size = pa.array([""], pa.large_string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of all texts; a text seen lately in this worker is not encoded again."""
@@ -275,28 +278,30 @@ class PieceEncoder:
         """Look up the distinct pieces of some texts, encode the new ones together, and lay the ids of all pieces out as one array."""
         lists = pc.split_pattern(pa.array([texts[i] for i in portion], pa.large_string()), " ")
         cuts = lists.offsets.to_numpy()
-        coded = lists.values.slice(cuts[0], cuts[-1] - cuts[0]).dictionary_encode()
-        cuts = cuts - cuts[0]
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        if len(self.pieces) > self.most_pieces:  # start anew with the pieces that these texts use
-            self.pieces = {w: ids for w in words if (ids := self.pieces.get(w)) is not None}
-        parts = list(map(self.pieces.get, words))
-        holes = [i for i in compress(range(len(parts)), map(not_, parts)) if words[i]]  # ids of a piece are never empty
-        new = self._encode_pieces([words[i] for i in holes])
-        self.pieces.update(new)
-        for i in holes:
-            parts[i] = new[words[i]]
-        parts = [p or b"" for p in parts]
-        codes[cuts[:-1]] = len(parts) + np.arange(len(portion))  # the first piece of a text has no blank before it
-        parts += [self.whole(words[k]) for k in coded.indices.to_numpy()[cuts[:-1]].tolist()]
-        ids = np.frombuffer(b"".join(parts), self.dtype)
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) // ids.itemsize
-        start, n = (np.cumsum(n) - n)[codes], n[codes]
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        at = pc.index_in(coded.dictionary, value_set=self.known)
+        words = coded.dictionary.filter(at.is_null())
+        flat, size = self._encode_pieces(words.to_pylist())
+        at = at.to_numpy(zero_copy_only=False).astype(np.float64)  # null as nan
+        fresh = np.isnan(at)
+        at[fresh] = len(self.known) + np.arange(len(words))
+        at = at.astype(np.int64)
+        self.known, self.flat, self.size = pa.concat_arrays([self.known, words]), np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        opening = cuts[:-1] - cuts[0]  # the first piece of a text has no blank before it
+        first = [self.whole(w) for w in coded.dictionary.take(coded.indices.take(pa.array(opening))).to_pylist()]
+        ids = np.concatenate([self.flat, np.frombuffer(b"".join(first), self.dtype)])
+        size = np.concatenate([self.size, np.fromiter(map(len, first), np.int64, len(first)) // ids.itemsize])
+        code = at[codes]
+        code[opening] = len(self.known) + np.arange(len(portion))
+        start, n = (np.cumsum(size) - size)[code], size[code]
         ends = np.cumsum(n)
         laid = ids[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
-        stops = np.concatenate([[0], ends])[cuts] * ids.itemsize
+        stops = np.concatenate([[0], ends])[cuts - cuts[0]] * ids.itemsize
         for i, x, y in zip(portion, stops.tolist(), stops[1:].tolist(), strict=False):
             out[i] = laid[x:y]
+        if len(self.known) > self.most_pieces:
+            self._forget()
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
