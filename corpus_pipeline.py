@@ -21,7 +21,7 @@ from grainsift.llm.features import held_out
 
 NEAR_PERCENT = 80  # op6_near_dedup alone links from 85 on
 BROADCAST_FILES = 100_000
-REMEMBERED_PIECES = 150_000  # by a token worker, beside what the stages before it hold
+REMEMBERED_PIECES = 400_000  # by a token worker, beside what the stages before it hold
 
 
 class Numbered:
