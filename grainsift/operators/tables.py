@@ -118,3 +118,26 @@ def batches(df: DataFrame, order: Sequence[str], size: int, by: Sequence[str] =
 def query_grid(terms: DataFrame, templates: DataFrame, done: DataFrame) -> DataFrame:
     """Every term under every template that is not done yet; both sides are small vocabularies."""
     return terms.crossJoin(templates).join(done, [*terms.columns, *templates.columns], "left_anti")
+
+
+def similar_token_sets(a: DataFrame, b: DataFrame, a_id: str, a_set: str, b_id: str, b_set: str, least: float) -> DataFrame:
+    """M1: all pairs (a_id, b_id, jaccard) of token sets with a Jaccard similarity of at least `least`.
+
+    Prefix filter: sets of n and m tokens that similar share `least` times n tokens and `least` times m, so they also share
+    one when each leaves out all but one of so many of its commonest tokens. Only such rare tokens are joined on, and only
+    pairs that meet there are compared on whole sets. Tokens are ordered by how many sets of b hold them, so those that no
+    set of b holds cost nothing. Empty sets are similar to nothing. Ids are unique on either side.
+    """
+    one = a.select(F.col(a_id).alias("a"), F.col(a_set).alias("x")).where(F.size("x") > 0)
+    two = b.select(F.col(b_id).alias("b"), F.col(b_set).alias("y")).where(F.size("y") > 0)
+    known = two.select(F.explode("y").alias("t")).groupBy("t").agg(F.count("*").alias("held"))
+
+    def rare(sets: DataFrame, key: str, tokens: str) -> DataFrame:
+        rows = sets.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("t")).join(known, "t")
+        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("held"), F.desc("t")))  # commonest first
+        return rows.withColumn("nth", nth).where(F.col("nth") >= F.ceil(F.col("n") * least - 1e-9)).select(key, "t")
+
+    pairs = rare(one, "a", "x").join(rare(two, "b", "y"), "t").select("a", "b").distinct()
+    shared = F.size(F.array_intersect("x", "y"))
+    similar = pairs.join(one, "a").join(two, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard"))
+    return similar.where(F.col("jaccard") >= least).select(F.col("a").alias(a_id), F.col("b").alias(b_id), "jaccard")

@@ -658,10 +658,7 @@ SELECT d.doc_id, b.item_id FROM d, b WHERE len(list_intersect(d.w, b.w)) / len(l
 def m1_token_jaccard(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.array_distinct(X.tokens(F.col("text"))).alias("w"))
     b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.tokens(F.col("text"))).alias("v"))
-    dw = d.select("doc_id", F.size("w").alias("nd"), F.explode("w").alias("t"))
-    bw = b.select("item_id", F.size("v").alias("nb"), F.explode("v").alias("t"))
-    both = dw.join(bw, "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("s"), F.first("nd").alias("nd"), F.first("nb").alias("nb"))
-    return both.where("s / (nd + nb - s) >= 0.3").select("doc_id", "item_id")
+    return J.similar_token_sets(d, b, "doc_id", "w", "item_id", "v", 0.3).select("doc_id", "item_id")
 
 
 RUNS = """b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM benchmark),

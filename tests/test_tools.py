@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainsift.functions import text as X
-from grainsift.operators import citations, dedup, tools
+from grainsift.operators import citations, dedup, tables, tools
 
 CASES = [
     ("pubmed", "", {"resultList": {"result": [{"pmid": "1", "title": "T", "abstractText": "a" * 1500}, {"id": "PPR9", "title": None}, {"pmid": "3"}]}}, [{"pmid": "1", "title": "T", "abstract": "a" * 1000}, {"pmid": "PPR9", "title": "", "abstract": ""}]),
@@ -85,3 +85,13 @@ def test_priority_union_of_repeated_rows_and_hot_keys(spark):
     a = spark.createDataFrame([(1, "hot")] * 3 + [(i, "HOT ") for i in range(2, 200)] + [(300, None), (301, "")], "i int, q string")
     kept, counts = dedup.priority_union([a, a.where("i < 5")], X.normal_key(F.col("q")), "i")
     assert [r.i for r in kept.collect()] == [1] and tuple(counts.first()) == (209, 1, 2, 206)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 1.0])
+def test_similar_token_sets_against_all_pairs(spark, least):
+    rnd = random.Random(6)
+    make = lambda n: [(i, sorted({rnd.choice("abcdefghijkl") * rnd.choice((1, 1, 2)) for _ in range(rnd.randint(0, 9))})) for i in range(n)]
+    a, b = make(120), make(40)
+    got = tables.similar_token_sets(spark.createDataFrame(a, "i long, x array<string>"), spark.createDataFrame(b, "j long, y array<string>"), "i", "x", "j", "y", least).collect()
+    want = [(i, j) for i, x in a for j, y in b if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= least]
+    assert len(want) > 3 and sorted((r.i, r.j) for r in got) == sorted(want)
