@@ -111,13 +111,18 @@ def retest(df: DataFrame, first: str, second: str, threshold: float = 0.5) -> li
     ]
 
 
+MAX_FLAGS = 5_000_000  # 20 MB, which every task that draws replicates gets
+
+
 def bootstrap_interval(flags: DataFrame, flag: str, order: str, replicates: int = 2000, fixed: int = 0, total: int | None = None) -> DataFrame:
     """T-10: deterministic percentile bootstrap of a rate of 0/1 flags: n, low, high in percent.
 
     Replicate b draws n flags by a linear congruential generator seeded with b. Replicates are dealt over the cluster; each
-    needs the flags in order, a list bounded by the audited sample. `fixed` successes count in every replicate, over
+    needs the flags in order, so a sample of more than MAX_FLAGS is refused. `fixed` successes count in every replicate, over
     `total` items. No flags give no row.
     """
+    if flags.limit(MAX_FLAGS + 1).count() > MAX_FLAGS:
+        raise ValueError(f"more than {MAX_FLAGS} flags: bootstrap a sample of them")
     packed = flags.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(flag).cast("int").alias("_f")))), lambda s: s["_f"]).alias("f")).where(F.size("f") > 0)
     seeds = flags.sparkSession.range(replicates).withColumnRenamed("id", "b")
 

@@ -52,7 +52,7 @@ def by_group(tasks: DataFrame, group: str, score: str, threshold: float, all_gro
     out = tasks.groupBy(group).agg(F.count("*").alias("n_tasks"), F.count(score).alias("n_judged"), F.avg(score).alias("avg_score"), F.avg((F.col(score) >= threshold).cast("int")).alias("pass_rate"))
     if all_groups is None:
         return out
-    return F.broadcast(all_groups).join(out, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tasks", "n_judged")})
+    return all_groups.join(out, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_tasks", "n_judged")})
 
 
 def judge_table(rows: DataFrame, model: str, supports: str) -> DataFrame:

@@ -135,6 +135,15 @@ def s15j_forum_questions(spark, sf):
     return C.forum_questions(page).select("source_id", "url")
 
 
+@query("s15j_encyclopedia_pages", "SELECT 'wiki:' || p_partkey AS source_id, p_name AS title, 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') AS url, left(repeat(p_type || ' ', 200), 3000) AS abstract FROM part WHERE p_partkey % 3 > 0")
+def s15j_encyclopedia_pages(spark, sf):
+    """A page for each part, of which every third is not found; extracts of over 3000 characters."""
+    ident = F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")).otherwise("-1")
+    pages = F.create_map(ident, F.struct(F.col("p_name").alias("title"), F.repeat(F.concat("p_type", F.lit(" ")), 200).alias("extract")))
+    payload = table(spark, sf, "part").select(F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query"))).alias("json"))
+    return C.encyclopedia_pages(payload).select("source_id", "title", "url", "abstract")
+
+
 @query("j11_merge_back", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'unknown' END AS label FROM documents")
 def j11_merge_back(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")

@@ -95,3 +95,10 @@ def test_similar_token_sets_against_all_pairs(spark, least):
     got = tables.similar_token_sets(spark.createDataFrame(a, "i long, x array<string>"), spark.createDataFrame(b, "j long, y array<string>"), "i", "x", "j", "y", least).collect()
     want = [(i, j) for i, x in a for j, y in b if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= least]
     assert len(want) > 3 and sorted((r.i, r.j) for r in got) == sorted(want)
+
+
+def test_redaction_of_names_that_the_caller_gives(spark):
+    said = F.lit("see db7.corp.example and /srv/private/x, key sk-abcdefghijklmnopqrstuvwx")
+    extra = [(r"[a-z0-9]+\.corp\.example", "[HOST]"), (r"/srv/private", "[PATH]")]
+    got = spark.range(1).select(X.redacted(said, extra).alias("r")).first().r
+    assert got == "see [HOST] and [PATH]/x, key [REDACTED_KEY]"
