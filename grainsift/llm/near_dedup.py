@@ -33,7 +33,7 @@ LEAST_PERCENT = 80  # here the bands miss a link with 1.3e-5; below, more
 MARGIN = 0.08  # four standard errors of the estimate at a threshold of 0.85; wider below
 BLOCK = 512  # nodes of a bucket that one task compares with as many others
 CELL_EDGES = 1_500
-BROADCAST_ROWS = 1_000_000  # of (cell, id): up to 16 MB of values meet the texts by broadcast, more by a shuffle
+BROADCAST_ROWS = 1_000_000  # of (cell, part, id): up to 24 MB of values meet the texts by broadcast, more by a shuffle
 _SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
 _WORDS = re.compile("[^\x20\x09-\x0d]+").finditer
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,19 +147,32 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are links, checked on full sets.
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the cell and the part of it that compares them, of CELL_EDGES pairs or so.
 
-    Pairs are dealt to cells by the hashes of both ends; each cell gets the text of a document once, however
-    many of the cell's pairs it is in.
+    Cells are dealt by the hashes of both ends. A node with a large share of all pairs fills a row of cells, so cells
+    with more than twice their due are cut into parts by the hash of the pair; there are at most n / (2 * CELL_EDGES) such.
     """
     n = pairs.count()
     side = max(1, int((n / CELL_EDGES) ** 0.5) + 1)
-    cell = F.pmod(F.xxhash64("u"), F.lit(side)) * side + F.pmod(F.xxhash64("v"), F.lit(side))
-    pairs = pairs.withColumn("cell", cell.cast("int"))
-    wanted = written(pairs.select("cell", F.col("u").alias("doc_id")).union(pairs.select("cell", "v")).distinct(), "near-wanted")
+    cell = F.pmod(F.xxhash64("u"), F.lit(side)).cast("long") * side + F.pmod(F.xxhash64("v"), F.lit(side))
+    pairs = pairs.withColumn("cell", cell)
+    full = pairs.groupBy("cell").count().where(F.col("count") > 2 * CELL_EDGES)
+    full = full.select("cell", F.ceil(F.col("count") / CELL_EDGES).cast("long").alias("parts"))
+    few = n <= BROADCAST_ROWS * 2 * CELL_EDGES
+    pairs = pairs.join(F.broadcast(full) if few else full.hint("merge"), "cell", "left")
+    return pairs.select("u", "v", "cell", F.pmod(F.xxhash64("u", "v", F.lit(5)), F.coalesce("parts", F.lit(1))).alias("part"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links, checked on full sets.
+
+    Each part of a cell gets the text of a document once, however many of its pairs it is in.
+    """
+    pairs = _dealt(pairs)
+    wanted = written(pairs.select("cell", "part", F.col("u").alias("doc_id")).union(pairs.select("cell", "part", "v")).distinct(), "near-wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("cell").alias("at"), "doc_id", "text")
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("cell").alias("at"), F.col("part").alias("of"), "doc_id", "text")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         known = {}
@@ -171,7 +184,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         give_back_memory()
         return left.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.groupBy("cell").cogroup(texts.groupBy("at")).applyInArrow(check, "u long, v long")
+    return pairs.groupBy("cell", "part").cogroup(texts.groupBy("at", "of")).applyInArrow(check, "u long, v long")
 
 
 def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -357,6 +357,15 @@ def test_lowest_estimate_keeps_four_standard_errors():
         assert s - near_dedup.lowest_estimate(percent) >= 4 * (s * (1 - s) / near_dedup.MINIMA) ** 0.5
 
 
+def test_pairs_of_a_hot_node_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL_EDGES", 100)
+    edges = [(0, i) for i in range(1, 9001)] + [(i, i + 1) for i in range(1, 3001)]
+    dealt = near_dedup._dealt(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted((r.u, r.v) for r in dealt) == sorted(edges)
+    assert max(Counter((r.cell, r.part) for r in dealt).values()) <= 250 < max(Counter(r.cell for r in dealt).values())
+    assert near_dedup._dealt(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_near_groups_empty(spark):
     assert near_dedup.near_groups(docs_of(spark, [(1, "x")]).where("false")).count() == 0
 
