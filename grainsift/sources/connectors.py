@@ -140,13 +140,17 @@ def proteins(payloads: DataFrame, column: str = "json") -> DataFrame:
 
 
 def compounds(searches: DataFrame, details: DataFrame) -> DataFrame:
-    """S15h: searches (query, json of ids) joined to detail payloads (cid, json); the first five ids of a search."""
+    """S15h: searches (query, json of ids) joined to detail payloads (cid, json); the first five ids of a search.
+
+    Payloads are far larger than their estimate, so the join is a merge join by hint and descriptions are cut before it.
+    """
     ids = searches.select("query", F.explode(F.slice(F.from_json("json", "IdentifierList struct<CID:array<long>>")["IdentifierList"]["CID"], 1, 5)).alias("cid"))
     d = details.select("cid", F.get(F.from_json("json", "InformationList struct<Information:array<struct<Title:string,Description:string>>>")["InformationList"]["Information"], F.lit(0)).alias("i"))
-    j = ids.join(d, "cid", "left").withColumn("c", F.col("cid").cast("string"))
+    d = d.select("cid", F.col("i.Title").alias("name"), F.substring("i.Description", 1, 2000).alias("description"))
+    j = ids.join(d.hint("merge"), "cid", "left").withColumn("c", F.col("cid").cast("string"))
     return raw(
-        j, source=F.lit("pubchem"), source_id=F.col("c"), url=F.concat(F.lit("https://pubchem.ncbi.nlm.nih.gov/compound/"), "c"), title=F.concat(F.lit("PubChem: "), F.coalesce("i.Title", F.concat(F.lit("CID:"), "c"))),
-        abstract=F.substring(F.coalesce("i.Description", F.lit("")), 1, 2000), document_type=F.lit("compound"), metadata=_meta(cid=F.col("c"), search_query=F.col("query")),
+        j, source=F.lit("pubchem"), source_id=F.col("c"), url=F.concat(F.lit("https://pubchem.ncbi.nlm.nih.gov/compound/"), "c"), title=F.concat(F.lit("PubChem: "), F.coalesce("name", F.concat(F.lit("CID:"), "c"))),
+        abstract=F.coalesce("description", F.lit("")), document_type=F.lit("compound"), metadata=_meta(cid=F.col("c"), search_query=F.col("query")),
     )
 
 
