@@ -75,12 +75,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def numbered(df: DataFrame, order: Sequence[str], pattern: str, start: int = 0) -> DataFrame:
-    """K5: generated ids such as item_00042 in the given order, without a global window: a range sort and the sizes of its parts."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """K5: generated ids such as item_00042 in the given order (nulls last), without a global window: a range sort and the sizes of its parts.
+
+    Places in the parts are written to the shared folder first. Sizes and rows must be of one sort, as the cuts and the
+    joined parts of a second one differ.
+    """
+    spark, path, by = df.sparkSession, scratch(df.sparkSession, "numbered"), [F.col(c).asc_nulls_last() for c in order]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = spark.read.parquet(path).withColumn("_p", F.shiftright("_m", 33))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    base = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_n", place).join(base, "_p").withColumn("id", F.format_string(pattern, (F.col("_b") + F.col("_n") + start).cast("long"))).drop("_p", "_n", "_b")
+    base = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    place = F.col("_b") + F.col("_m").bitwiseAND((1 << 33) - 1) + start  # base has one row for each part
+    return ranged.join(F.broadcast(base), "_p").withColumn("id", F.format_string(pattern, place)).drop("_p", "_m", "_b")
 
 
 def quarantine(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:

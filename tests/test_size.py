@@ -2,7 +2,10 @@
 
 import json
 
-from test_oracles import QUERIES
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from test_oracles import ORACLES, QUERIES
 
 from grainsift.sources import connectors as C
 
@@ -24,3 +27,43 @@ def test_compound_details_without_title_or_text(spark):
     details = spark.createDataFrame([(1, info({"Description": "é" * 2001})), (2, info({"Title": "Two"}, {"Title": "other"})), (3, info())], "cid long, json string")
     got = {r.source_id: (r.title, r.abstract) for r in C.compounds(searches, details).collect()}
     assert got == {"1": ("PubChem: CID:1", "é" * 2000), "2": ("PubChem: Two", ""), "3": ("PubChem: CID:3", ""), "4": ("PubChem: CID:4", "")}
+
+
+@pytest.fixture
+def settings(spark):
+    """Sets settings of the session until the end of a test."""
+    old = {}
+
+    def put(name, value):
+        old.setdefault(name, spark.conf.get(name))
+        spark.conf.set(name, value)
+
+    yield put
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def from_sql(name, folder, table):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    want = con.sql(ORACLES[name])
+    return want.columns, sorted(want.fetchall(), key=str)
+
+
+@pytest.fixture(scope="module")
+def sources(spark, tmp_path_factory):
+    """Documents out of order whose two key columns differ much in size from the rows of a sheet; some without source."""
+    folder = tmp_path_factory.mktemp("sources")
+    source = F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 5))
+    spark.range(30_000).select(F.expr("id * 7919 % 30000").alias("doc_id"), source.alias("source"), F.sha2(F.col("id").cast("string"), 512).alias("lang")).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("advisory", ["64MB", "200KB"])
+def test_sheets_hold_all_rows_where_parts_are_joined(spark, settings, sources, advisory):
+    settings("spark.sql.shuffle.partitions", "40")
+    settings("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    settings("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    df = QUERIES["k11_blind_sheets"](spark, sources)
+    columns, want = from_sql("k11_blind_sheets", sources, "documents")
+    assert df.columns == columns and sorted(map(tuple, df.collect()), key=str) == want
