@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,28 +74,44 @@ def followed_by(first: DataFrame, second: DataFrame, key: str, within: str, *, l
     return a.join(b, F.expr(f"ka = kb AND tb > ta AND tb <= ta + INTERVAL {within}")).select(F.col("ka").alias(key), "first_id", "second_id")
 
 
+def exact_sum(values: list[float]) -> list[float]:
+    """Few doubles with exactly the sum of the values, the first of them that sum rounded once; none for zero."""
+    parts: list[float] = []
+    while rest := math.fsum([*values, *(-p for p in parts)]):
+        parts.append(rest)
+        if not math.isfinite(rest):
+            break
+    return parts
+
+
 class SpendMeter(StatefulProcessor):
-    """R7, R8 as a stateful operator: running spend of each key, reported whenever it passes another multiple of the cap."""
+    """R7, R8 as a stateful operator: running spend of each key, reported whenever it passes another multiple of the cap.
+
+    The spend is kept exactly, so its multiples don't hang on the order or the batches in which rows arrive.
+    """
 
     def __init__(self, cap: float):
         self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.spent = handle.getValueState("spent", "total double")
+        self.spent = handle.getValueState("spent", "parts array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.spent.get()[0] if self.spent.exists() else 0.0
-        total = before + sum(float(pdf["value"].sum()) for pdf in rows)
-        self.spent.update((total,))
-        if total // self.cap > before // self.cap:
-            yield pd.DataFrame({"key": [str(key[0])], "times": [int(total // self.cap)]})
+        old = list(self.spent.get()[0]) if self.spent.exists() else []
+        new = old
+        for pdf in rows:
+            new = exact_sum([*new, *pdf["value"].dropna().tolist()])
+        self.spent.update((new,))
+        before, times = (math.floor(x[0] / self.cap) if x else 0 for x in (old, new))
+        if times > before:
+            yield pd.DataFrame({"key": [str(key[0])], "times": [times]})
 
     def close(self) -> None:
         pass
 
 
 def spend_alerts(events: DataFrame, key: str, cap: float) -> DataFrame:
-    """Alerts (key, times over the cap) of a stream; transformWithState keeps one number per key (RocksDB state store needed)."""
+    """Alerts (key, times over the cap) of a stream; transformWithState keeps a few numbers per key (RocksDB state store needed)."""
     return events.select(key, "value").groupBy(key).transformWithStateInPandas(SpendMeter(cap), "key string, times long", "Append", "None")
 
 

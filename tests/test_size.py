@@ -1,6 +1,9 @@
 """Faults that only larger tables showed, each in a small form."""
 
 import json
+import math
+import random
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -9,6 +12,7 @@ from test_oracles import ORACLES, QUERIES
 
 from grainsift.sources import connectors as C
 from grainsift.sources import files as IO
+from grainsift.streaming import events as E
 
 
 def plan(df):
@@ -77,3 +81,31 @@ def test_generated_ids_of_more_than_five_digits(spark, tmp_path):
     assert df.columns == columns and sorted(map(tuple, df.collect()), key=str) == want
     rows = IO.numbered(spark.read.parquet(f"{tmp_path}/documents.parquet"), ["source", "doc_id"], "item_%05d", 1).orderBy("source", "doc_id")
     assert [r.id for r in rows.collect()] == [f"item_{i:05d}" for i in range(1, 100_021)]
+
+
+def test_exact_sum_against_fractions():
+    rnd = random.Random(8)
+    for n in range(60):
+        values = [rnd.choice((-1, 1)) * rnd.random() * 10 ** rnd.randint(-20, 20) for _ in range(n)]
+        parts = E.exact_sum(values)
+        assert sum(map(Fraction, parts)) == sum(map(Fraction, values)) and (not parts or parts[0] == math.fsum(values))
+    assert E.exact_sum([1.5, -1.5]) == [] and E.exact_sum([math.inf, 1.0]) == [math.inf]
+
+
+def test_spend_alerts_at_a_multiple_of_the_cap(spark, tmp_path):
+    """Six equal values that are the cap in full and less if summed as doubles in a row, one a file."""
+    total = 0.0
+    for _ in range(6):  # sum() of Python compensates
+        total += 0.09
+    assert total < 0.54 == math.fsum([0.09] * 6)
+    rows = spark.createDataFrame([(1, 0.09), (2, 0.045), (3, None)], "user_id long, value double").coalesce(1)
+    for _ in range(6):
+        rows.write.mode("append").parquet(str(tmp_path / "e"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = E.drained(E.spend_alerts(E.stream_of(spark, str(tmp_path / "e"), rows.schema, 1), "user_id", 0.54), "spend").collect()
+    finally:
+        spark.conf.set(provider, old)
+    assert list(map(tuple, got)) == [("1", 1)]
