@@ -197,16 +197,24 @@ def _tokenizer(name: str):
 
 #: White space other than blank and line feed; a text with any of it goes to the library as a whole.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PORTION = 1 << 23  # characters whose pieces are looked up at once
+PORTION = 1 << 25  # characters whose pieces are looked up at once
 MEMO_PIECES = 1_500_000
 MEMO_TEXTS = 8_192  # of at most 8 kB of ids
+#: Characters that are letters, or neither letters, numbers nor space, in every version of Unicode since 5.0.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧"
+#: The library's pre-tokens of text of these characters and tabs, without the tabs.
+PRE_TOKEN = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[{MARKS}]+|\n+(?!\S)|\n+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Bytes as a byte-level tokenizer writes them, but for the tab, which becomes a blank.
+BYTE_LEVEL = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)} | {9: 32}
 
 
 class PieceEncoder:
     """Ids of texts as packed little-endian integers, from the tokenizers library.
 
     With a byte-level pre-tokeniser a single blank between two other characters always opens a pre-token, so a text may
-    be cut before such blanks and each distinct piece encoded once. Other texts and tokenizers are encoded whole.
+    be cut before such blanks and each distinct piece encoded once. Pieces of LETTERS, digits, MARKS and line feeds alone are
+    cut into pre-tokens here and go straight to the library's model. Other texts and tokenizers are encoded whole.
     """
 
     def __init__(self, name: str, width: int, pieces: int = MEMO_PIECES, texts: int = MEMO_TEXTS):
@@ -218,16 +226,33 @@ class PieceEncoder:
         self.texts: dict[bytes, bytes] = {}  # ids of recent texts by 128-bit digest: copies are encoded once
         tab = self.library.encode("\t", add_special_tokens=False).ids
         self.tab = tab[0] if len(tab) == 1 else None
+        added = ["".join(rf"\x{{{ord(c):x}}}" for c in t["content"]) for t in spec["added_tokens"]]
+        self.odd = "|".join([rf"^\n|[^\n0-9{LETTERS}{MARKS}]", *added])  # what a piece that is cut into pre-tokens doesn't hold
+        self.model = self._model_alone(spec) if self.cuts else None
+
+    def _model_alone(self, spec: dict):
+        """The library's model without its pre-tokeniser: it is given pre-tokens in the byte-level alphabet, with blanks between."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        model = spec["model"]
+        if model["type"] != "BPE" or any(model[k] for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            return None
+        alone = Tokenizer(self.library.model)
+        alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.n_bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # of each token; a character of the alphabet is a byte
+        for token, i in model["vocab"].items():
+            self.n_bytes[i] = len(token)
+        return alone
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encode_pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_library(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one behind the other, and how many each has. Many go to a call: pieces open with a blank and hold no
         tab, so a tab between them is a token of its own."""
         flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for i in range(0, len(new), 256):
-            part = new[i : i + 256]
+            part = new.slice(i, 256).to_pylist()
             if self.tab is not None:
                 ids = np.array(self.library.encode_batch_fast([" " + "\t ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
                 tab = ids == self.tab
@@ -241,9 +266,40 @@ class PieceEncoder:
             sizes.append(np.array(list(map(len, got)), np.int64))
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _by_model(self, new: pa.Array, one: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces without anything odd, by the model alone; one: each is one pre-token. Whose a token is, its bytes tell."""
+        flat, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for i in range(0, len(new), 1024):
+            words = new.slice(i, 1024)
+            text = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), "\t ")[0].as_py()
+            shown = (text if one else "\t".join(PRE_TOKEN.findall(text + "\t"))).encode().decode("latin-1").translate(BYTE_LEVEL)
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.dtype)
+            ends, wanted = np.cumsum(self.n_bytes[ids]), np.cumsum(pc.binary_length(words).to_numpy() + 1)
+            at = np.searchsorted(ends, wanted)
+            if not len(ends) or ends[-1] != wanted[-1] or (ends[at] != wanted).any():  # a byte that the model doesn't know
+                got, size = self._by_library(words)
+                flat.append(got)
+                sizes.append(size)
+                continue
+            flat.append(ids)
+            sizes.append(np.diff(at, prepend=-1))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encode new pieces and remember them."""
+        ways = [(new, self._by_library)]
+        if self.model:
+            odd, more = pc.match_substring_regex(new, self.odd), pc.match_substring_regex(new, f"[^{LETTERS}]")
+            plain, mixed = new.filter(pc.invert(more)), new.filter(pc.and_(more, pc.invert(odd)))
+            ways = [(plain, lambda x: self._by_model(x, True)), (mixed, lambda x: self._by_model(x, False)), (new.filter(odd), self._by_library)]
+        for words, encode in ways:
+            flat, size = encode(words)
+            ids = _lists(np.concatenate([[0], np.cumsum(size)]) * flat.itemsize, pa.py_buffer(flat))
+            self.known, self.ids = pa.concat_arrays([self.known, words]), pa.concat_arrays([self.ids, ids])
+
     def _forget(self) -> None:
         """No piece known but the empty one, which has no ids."""
-        self.known, self.flat, self.size = pa.array([""], pa.large_string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.known, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of all texts; a text seen lately in this worker is not encoded again."""
@@ -278,32 +334,35 @@ class PieceEncoder:
         """Look up the distinct pieces of some texts, encode the new ones together, and lay the ids of all pieces out as one array."""
         lists = pc.split_pattern(pa.array([texts[i] for i in portion], pa.large_string()), " ")
         cuts = lists.offsets.to_numpy()
+        cuts = cuts - cuts[0]
         coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        at = pc.index_in(coded.dictionary, value_set=self.known)
-        words = coded.dictionary.filter(at.is_null())
-        flat, size = self._encode_pieces(words.to_pylist())
-        at = at.to_numpy(zero_copy_only=False).astype(np.float64)  # null as nan
-        fresh = np.isnan(at)
-        at[fresh] = len(self.known) + np.arange(len(words))
-        at = at.astype(np.int64)
-        self.known, self.flat, self.size = pa.concat_arrays([self.known, words]), np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        opening = cuts[:-1] - cuts[0]  # the first piece of a text has no blank before it
-        first = [self.whole(w) for w in coded.dictionary.take(coded.indices.take(pa.array(opening))).to_pylist()]
-        ids = np.concatenate([self.flat, np.frombuffer(b"".join(first), self.dtype)])
-        size = np.concatenate([self.size, np.fromiter(map(len, first), np.int64, len(first)) // ids.itemsize])
-        code = at[codes]
-        code[opening] = len(self.known) + np.arange(len(portion))
-        start, n = (np.cumsum(size) - size)[code], size[code]
-        ends = np.cumsum(n)
-        laid = ids[np.repeat(start - (ends - n), n) + np.arange(int(n.sum()))].tobytes()
-        stops = np.concatenate([[0], ends])[cuts - cuts[0]] * ids.itemsize
-        for i, x, y in zip(portion, stops.tolist(), stops[1:].tolist(), strict=False):
-            out[i] = laid[x:y]
+        pieces, code = coded.dictionary, coded.indices.to_numpy().copy()
+        first = [self.whole(w) for w in pieces.take(coded.indices.take(pa.array(cuts[:-1]))).to_pylist()]
+        code[cuts[:-1]] = len(pieces) + np.arange(len(portion))  # the first piece of a text has no blank before it
+        del lists, coded
+        at = pc.index_in(pieces, value_set=self.known)
+        new, n = pc.is_null(at), len(self.known)
+        if pc.any(new).as_py():
+            self._learn(pieces.filter(new))
+            fresh = pieces.filter(new)
+            at = pc.replace_with_mask(at, new, pc.add(pc.index_in(fresh, value_set=self.known.slice(n)), n).cast(at.type))
+        laid = pa.concat_arrays([self.ids.take(at), pa.array(first, pa.large_binary())]).take(pa.array(code))
+        stops, data = _stops(laid)[cuts].tolist(), memoryview(laid.buffers()[2] or b"")
+        for i, x, y in zip(portion, stops, stops[1:], strict=False):
+            out[i] = bytes(data[x:y])
         if len(self.known) > self.most_pieces:
             self._forget()
 
 
+def _stops(lists: pa.Array) -> np.ndarray:
+    return np.frombuffer(lists.buffers()[1], np.int64, len(lists) + 1, lists.offset * 8)
+
+
+def _lists(stops: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Byte strings that lie one behind the other in data."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int64)), data])
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -327,7 +386,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     then is the key.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, rows=5000, mbytes=16)
+    bounded_batches(spark, rows=10_000, mbytes=20)
     n_shards = n_shards or max(shuffle_partitions(spark), -(-docs.count() // ROWS_PER_SHARD))
     width = 2 if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
     root = folder.rstrip("/")

@@ -196,6 +196,40 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert token_shards.read_shards(token_shards.write_shards(docs_of(spark, rows).where("false"), str(tmp_path / "e"), "byte_bpe_50k.json")).count() == 0
 
 
+def test_pieces_are_cut_as_the_library_cuts_them():
+    rnd, lib = random.Random(11), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = [chr(c) for c in range(33, 0x2100) if re.fullmatch(f"[0-9{token_shards.LETTERS}{token_shards.MARKS}]", chr(c))]
+    assert len(plain) > 500
+    odd = ["\n", "\n", "\n\n\n", "'s", "'LL", "'ve", "\"'t", "ª", "²", "½", "µ", "中", "é", "🙂", "ж", "٣", "<|endoftext|>", "\u00ad", "\u200b", "_", "..."]
+    texts = [f"a{c}b {c} x{c} {c}9{c} '{c} {c}'s{c}\n{c} end" for c in plain + odd] + ["", "x", "\nlead in", "trail\n", "trail\n\n", "a\n\n\nb c\n\nd", "don't I'll 'tis we'LL"]
+    texts += [" ".join("".join(rnd.choice(rnd.choice((odd, plain, "abcdefgh", "ab,.'"))) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for pieces in (10**6, 500):
+        encoder = token_shards.PieceEncoder("byte_bpe_50k.json", 4, pieces, 0)
+        assert [g for n in range(0, len(texts), 700) for g in encoder.encode_all(texts[n : n + 700])] == want
+
+
+def test_new_words_go_to_the_model_without_the_pre_tokeniser():
+    class Counting:
+        def __init__(self, library):
+            self.library, self.seen = library, 0
+
+        def encode(self, text, **kw):
+            self.seen += len(text)
+            return self.library.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.seen += sum(map(len, texts))
+            return self.library.encode_batch_fast(texts, **kw)
+
+    rnd, encoder = random.Random(5), token_shards.PieceEncoder("byte_bpe_50k.json", 2)
+    text = "Start " + " ".join("".join(rnd.choice("abcdefghijklmnoé") for _ in range(9)) + rnd.choice(("", ",", ".\nThen", "'s", " 42")) for _ in range(4000))
+    want = np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    encoder.library = Counting(encoder.library)
+    assert encoder.encode_all([text]) == [want]
+    assert encoder.library.seen < 100  # the first word; formerly each new piece
+
+
 # -- 4, 7 ---------------------------------------------------------------------------------------------------
 def test_language_id_held_out(spark):
     sf = "/root/testdata/sf0.01"
