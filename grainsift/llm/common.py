@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainsift.session import reach_workers, shared_folder
 
+FILE_BYTES = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session."""
@@ -24,9 +26,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, partition_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet into the shared folder and reread it: a lineage cut that survives lost executors."""
+def written(df: DataFrame, name: str, partition_cols: tuple[str, ...] = (), most_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and reread it: a lineage cut that survives lost executors.
+
+    most_bytes: what the rows of df hold at most. A small table then goes into few files of FILE_BYTES or so instead of one for
+    every partition; on a local file system each file costs the executor several helper processes.
+    """
     path = work_path(df.sparkSession, name)
+    if most_bytes is not None:
+        df = df.coalesce(max(1, -(-most_bytes // FILE_BYTES)))
     w = df.write
     (w.partitionBy(*partition_cols) if partition_cols else w).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,6 +33,7 @@ LEAST_PERCENT = 80  # here the bands miss a link with 1.3e-5; below, more
 MARGIN = 0.08  # four standard errors of the estimate at a threshold of 0.85; wider below
 BLOCK = 512  # nodes of a bucket that one task compares with as many others
 CELL_EDGES = 1_500
+NODE_BYTES, MEMBER_BYTES, STAR_BYTES, WANTED_BYTES = MINIMA + 24, 24, 16, 24  # of a row
 BROADCAST_ROWS = 1_000_000  # of (cell, part, id): up to 24 MB of values meet the texts by broadcast, more by a shuffle
 _SPLIT = re.compile("[^\x20\x09-\x0d]+").findall
 _WORDS = re.compile("[^\x20\x09-\x0d]+").finditer
@@ -169,8 +170,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     Each part of a cell gets the text of a document once, however many of its pairs it is in.
     """
+    n = pairs.count()
     pairs = _dealt(pairs)
-    wanted = written(pairs.select("cell", "part", F.col("u").alias("doc_id")).union(pairs.select("cell", "part", "v")).distinct(), "near-wanted")
+    wanted = pairs.select("cell", "part", F.col("u").alias("doc_id")).union(pairs.select("cell", "part", "v")).distinct()
+    wanted = written(wanted, "near-wanted", most_bytes=2 * n * WANTED_BYTES)
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("cell").alias("at"), F.col("part").alias("of"), "doc_id", "text")
 
@@ -203,19 +206,21 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(_sketches(source), "near-sketches")
     usable = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "near-nodes")
+    nodes = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    nodes = written(nodes, "near-nodes", most_bytes=usable.count() * NODE_BYTES)
 
     # The low six bits of a bucket's key are its band.
     slot = lambda j: F.xxhash64(j, F.substring("sig", j * ROWS + 1, F.lit(ROWS))).bitwiseAND(~63).bitwiseOR(j.cast("long"))
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), slot)).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = written(bands.join(shared, "key"), "near-members")  # the buckets of lone nodes end here
+    member = written(bands.join(shared, "key"), "near-members", most_bytes=nodes.count() * BANDS * MEMBER_BYTES)  # the buckets of lone nodes end here
     turn = F.struct(F.xxhash64("node", "key").alias("h"), F.col("node").alias("id"))
     leads = member.groupBy("key").agg(F.array(F.min(turn), F.max(turn)).alias("leads")).select("key", F.col("leads.id").alias("leads"))
     stars = member.join(leads, "key").select("node", F.explode("leads").alias("lead")).where("node <> lead")
-    stars = written(stars.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "near-stars")
+    stars = stars.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct()
+    stars = written(stars, "near-stars", most_bytes=2 * member.count() * STAR_BYTES)
     links = written(_confirmed(stars, source, percent), "near-links")
-    label = components(links)
+    label = components(links, most=links.count())
 
     placed = member.join(label.withColumnRenamed("id", "node"), "node", "left").select("key", F.col("key").bitwiseAND(63).cast("int").alias("band"), "node", "n", F.coalesce("component", "node").alias("comp"))
     placed = written(placed, "near-placed")
@@ -261,9 +266,11 @@ def near_groups(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", t
 
     dealt = rows.repartition(2 * shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     cross = dealt.mapInArrow(pairs, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    cross = written(cross, "near-cross")
+    # Few of the tasks that compare hold many pairs; they need not each write a file.
+    cross = written(cross.repartition(-(-shuffle_partitions(spark) // 8)), "near-cross")
     more = written(_confirmed(cross, source, percent), "near-links")
-    label = components(links.unionByName(more))
+    links = links.unionByName(more)
+    label = components(links, most=links.count())
 
     classes = nodes.select("digest", "node").join(label.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     # One id may stand on several rows: its smallest component is that of all of them.

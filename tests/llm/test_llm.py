@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grainsift.llm import catalog, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_counts, token_shards, url_filter
+from grainsift.llm import catalog, common, decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_counts, token_shards, url_filter
+from grainsift.llm import components as components_module
 from grainsift.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -424,6 +425,53 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 300: 300, 301: 300}
 
 
+def part_files(folder):
+    """How many files each table below a folder has, by the name of the table."""
+    found = Counter(p.parent.name for p in folder.glob("*/part-*"))
+    return {name: max(n for k, n in found.items() if k.startswith(name)) for name in {k.rsplit("-", 1)[0] for k in found}}
+
+
+@pytest.fixture
+def many_partitions(spark, tmp_path, monkeypatch):
+    """64 shuffle partitions, none joined; intermediate tables go to tmp_path and stay."""
+    for module in (near_dedup, components_module):
+        monkeypatch.setattr(module, "discard", lambda df: None)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield tmp_path
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_small_intermediate_tables_are_few_files(spark, many_partitions):
+    rnd = random.Random(8)
+    base = words(rnd, 150, 10_000).split()
+    rows = [(i, words(rnd, 40, 10_000)) for i in range(100)]
+    for i in range(100, 400):  # a group of many edit rates
+        copy = list(base)
+        for _ in range(rnd.randrange(6)):
+            copy[rnd.randrange(150)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_groups(docs_of(spark, rows)).collect()
+    expected = brute_groups(rows)
+    assert {r.doc_id: r.component_id for r in got} == expected and len(set(expected.values())) < 350
+    files = part_files(many_partitions)
+    assert {"near-nodes", "near-stars", "near-wanted", "near-cross", "cc-edges", "cc-labels", "cc-hooks"} <= set(files)
+    assert all(files[k] <= 2 for k in ("near-nodes", "near-members", "near-stars", "near-wanted", "cc-edges", "cc-labels", "cc-hooks")), files
+    assert files["near-cross"] <= 8
+
+
+def test_written_keeps_partitions_of_large_tables(spark):
+    rows = spark.range(0, 1000, 1, 16)
+    assert len(common.written(rows, "large", most_bytes=common.FILE_BYTES * 16).inputFiles()) == 16
+    assert len(common.written(rows, "halved", most_bytes=common.FILE_BYTES * 8).inputFiles()) == 8
+    few = common.written(rows, "few", most_bytes=0)
+    assert len(few.inputFiles()) == 1 and few.count() == 1000 and common.written(rows.where("false"), "none", most_bytes=0).count() == 0
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------
 def test_token_counts_against_library(monkeypatch):
     counter = token_counts.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
